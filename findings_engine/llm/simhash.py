@@ -87,8 +87,13 @@ def plan(counts: dict[int, int], bits: int, limit: int, budget: int = BUDGET) ->
     return tasks
 
 
-def _key(depth: int, a: int, b: int) -> int:
-    return (depth << 2 * TOP_BITS) | (a << TOP_BITS) | b
+def _key(family: int, depth: int, a: int, b: int) -> int:
+    return (family << 3 * TOP_BITS) | (depth << 2 * TOP_BITS) | (a << TOP_BITS) | b
+
+
+def _unkey(task: int) -> tuple[int, int, int, int]:
+    mask = (1 << TOP_BITS) - 1
+    return task >> 3 * TOP_BITS, (task >> 2 * TOP_BITS) & mask, (task >> TOP_BITS) & mask, task & mask
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,33 +173,34 @@ def task_forest(values: np.ndarray, depth: int, prefix: int, other: int, budget:
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, limit: int | None = None) -> DataFrame:
-    """(a, b): edges between distinct fingerprints (column fp) that connect whatever the budget links."""
+    """(family, a, b): edges between the distinct (family, fp) that connect, in each family, whatever the budget links."""
     spark = distinct.sparkSession
     prefix = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
-    counts = {r[0]: r[1] for r in distinct.groupBy(prefix.alias("p")).count().collect()}  # at most 2**TOP_BITS rows
-    tasks = plan(counts, TOP_BITS, limit or min(MOST, max(4096, sum(counts.values()) // 16)), budget)
-    of: dict[int, list[int]] = {}
-    starts: dict[tuple[int, int], list[int]] = {}
-    for depth, a, b in tasks:
-        for node in {a, b}:
-            starts.setdefault((depth, node), []).append(_key(depth, a, b))
-    for p in counts:
-        of[p] = [t for depth in range(TOP_BITS + 1) for t in starts.get((depth, p >> (TOP_BITS - depth)), ())]
-    dealt = spark.createDataFrame([(p, t) for p, t in of.items()], "p int, tasks array<long>")
-    dealt = distinct.select("fp", prefix.alias("p")).join(F.broadcast(dealt), "p").select(F.explode("tasks").alias("task"), "fp")
+    rows = distinct.groupBy("family", prefix.alias("p")).count().collect()  # at most 2**TOP_BITS for a family
+    limit = limit or min(MOST, max(4096, sum(r[2] for r in rows) // 16))
+    dealt_to: list[tuple[int, int, list[int]]] = []
+    for family in sorted({r[0] for r in rows}):
+        counts = {r[1]: r[2] for r in rows if r[0] == family}
+        of_node: dict[tuple[int, int], list[int]] = {}
+        for depth, a, b in plan(counts, TOP_BITS, limit, budget):
+            for node in {a, b}:
+                of_node.setdefault((depth, node), []).append(_key(family, depth, a, b))
+        dealt_to += [(family, p, [t for depth in range(TOP_BITS + 1) for t in of_node.get((depth, p >> (TOP_BITS - depth)), ())]) for p in counts]
+    dealt = spark.createDataFrame(dealt_to, "family int, p int, tasks array<long>")
+    dealt = distinct.select("family", "fp", prefix.alias("p")).join(F.broadcast(dealt), ["family", "p"]).select(F.explode("tasks").alias("task"), "fp")
 
     def run(group: pa.Table) -> pa.Table:
-        task = group.column("task")[0].as_py()
-        a, b = task_forest(group.column("fp").to_numpy().view(np.uint64).copy(), task >> 2 * TOP_BITS, (task >> TOP_BITS) & (1 << TOP_BITS) - 1, task & (1 << TOP_BITS) - 1, budget)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        family, depth, prefix, other = _unkey(group.column("task")[0].as_py())
+        a, b = task_forest(group.column("fp").to_numpy().view(np.uint64).copy(), depth, prefix, other, budget)
+        return pa.table({"family": pa.array([family] * len(a), pa.int32()), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("task").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("task").applyInArrow(run, "family int, a long, b long")
 
 
 def components(prints: DataFrame, id_col: str = "doc_id", budget: int = BUDGET, limit: int | None = None) -> DataFrame:
     """id, fp, component_id: the least id of those that chains of links reach. ``prints``: id and fp, cheap to read again."""
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    root = roots(links(classes.select("fp"), budget, limit), "a", "b")
+    root = roots(links(classes.select(F.lit(0).alias("family"), "fp"), budget, limit), "a", "b")
     linked = written(root.join(classes, root["node"] == classes["fp"]).select("fp", "root", "least"), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     of = linked.join(least, "root").select(F.col("fp").alias("f"), "component")
