@@ -9,13 +9,13 @@ library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Parts that one generation of the memory holds; there are two.
-MEMORY = 300_000
-BLOCK = 128
+MEMORY = 450_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MIXED_SPACE = re.compile(r"^ | $| \s|\s ")
 
@@ -51,39 +51,39 @@ class ByteVocab:
         return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def parts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if _MIXED_SPACE.search(text):
-            first, *rest = _LONE_SPACE.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return [first, *[f" {p}" for p in rest]]
+        """The text's first part, and the others without the space that each begins with."""
+        return _LONE_SPACE.split(text) if _MIXED_SPACE.search(text) else text.split(" ")
+
+    def _encode(self, text: str) -> bytes:
+        return array(self.kind().dtype.char, self.encoder.encode_ordinary(text)).tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids as the library gives them without special tokens around it."""
         out = []
-        for at in range(0, len(texts), BLOCK):
-            block = [[] if any(s in t for s in self.special) else self.parts(t) for t in texts[at : at + BLOCK]]
-            known = self._recall(set().union(*block))
-            for t, parts in zip(texts[at : at + BLOCK], block, strict=True):
-                if parts or not t:
-                    out.append(np.frombuffer(b"".join([known[p] for p in parts]), self.kind))
-                else:
-                    out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind))
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind))
+                continue
+            first, *rest = self.parts(text)
+            found = list(map(self.now.get, rest))
+            if None in found:
+                found = self._complete(rest, found)
+            out.append(np.frombuffer(self._encode(first) + b"".join(found), self.kind))
         return out
 
-    def _recall(self, wanted: set[str]) -> dict[str, bytes]:
-        missing = wanted - self.now.keys()
-        if missing:
-            old = missing & self.before.keys()
-            encode = self.encoder.encode_ordinary
-            found = {s: self.before[s] for s in old} | {s: np.array(encode(s), self.kind).tobytes() for s in missing - old}
-            if len(self.now) + len(found) > MEMORY:
-                found |= {s: self.now[s] for s in wanted - missing}
-                self.before, self.now = self.now, found
-            else:
-                self.now |= found
-        return self.now
+    def _complete(self, rest: list[str], found: list[bytes | None]) -> list[bytes]:
+        """Encode the parts that the newer generation lacks, or take them over from the older."""
+        if len(self.now) > MEMORY:
+            self.before, self.now = self.now, {}
+        now, before = self.now, self.before
+        for k, ids in enumerate(found):
+            if ids is None:
+                part = rest[k]
+                ids = now.get(part)
+                if ids is None:
+                    ids = now[part] = before.get(part) or self._encode(f" {part}")
+                found[k] = ids
+        return found
 
 
 @lru_cache(maxsize=2)

@@ -36,7 +36,9 @@ def projection(vocab_size: int, dimensions: int = DIMENSIONS, seed: int = 17) ->
 
 def cells(ids: np.ndarray, signs: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The document's cell on the grid; without tokens the middle one."""
-    distinct = np.unique(ids)
+    held = np.zeros(len(signs), bool)
+    held[ids] = True
+    distinct = np.flatnonzero(held)
     z = signs[distinct].sum(axis=0, dtype=np.int64) / math.sqrt(max(len(distinct), 1))
     even = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
     return np.minimum((even * (1 << bits)).astype(np.int64), (1 << bits) - 1)
