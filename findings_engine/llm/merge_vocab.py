@@ -182,24 +182,22 @@ class MergeVocab:
         out = []
         for at in range(0, len(texts), BLOCK):
             block = [self.segments(t) for t in texts[at : at + BLOCK]]
-            known = self._recall(set().union(*block))
-            for segments in block:
-                both = [known[s] for s in segments]
+            found = [list(map(self.now.get, segments)) for segments in block]
+            missing = {s for segments, known in zip(block, found, strict=True) if None in known for s, k in zip(segments, known, strict=True) if k is None}
+            added = self._recall(missing) if missing else {}
+            for segments, known in zip(block, found, strict=True):
+                both = [k or added[s] for s, k in zip(segments, known, strict=True)] if None in known else known
                 out.append((",".join([b[0] for b in both]), "".join([b[1] for b in both]).removeprefix(" ")))
         return out
 
-    def _recall(self, wanted: set[str]) -> dict[str, tuple[str, str]]:
-        """What is known of the segments, new ones included; all of it is in the memory's newer generation after this."""
-        missing = wanted - self.now.keys()
-        if missing:
-            old = missing & self.before.keys()
-            found = {s: self.before[s] for s in old} | self.learn(missing - old)
-            if len(self.now) + len(found) > MEMORY:
-                found |= {s: self.now[s] for s in wanted - missing}
-                self.before, self.now = self.now, found
-            else:
-                self.now |= found
-        return self.now
+    def _recall(self, missing: set[str]) -> dict[str, tuple[str, str]]:
+        """What the newer generation of the memory lacks: taken over from the older, or learned."""
+        old = missing & self.before.keys()
+        added = {s: self.before[s] for s in old} | self.learn(missing - old)
+        if len(self.now) + len(added) > MEMORY:
+            self.before, self.now = self.now, {}
+        self.now |= added
+        return added
 
 
 @lru_cache(maxsize=2)
