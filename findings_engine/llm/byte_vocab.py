@@ -16,6 +16,8 @@ import numpy as np
 
 #: Parts that one generation of the memory holds; there are two.
 MEMORY = 450_000
+#: Signs that are neither letters, digits, white space nor the apostrophe of a contraction.
+SIGNS = ".,;:!?%&*$#"
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MIXED_SPACE = re.compile(r"^ | $| \s|\s ")
 
@@ -33,6 +35,7 @@ class ByteVocab:
         for token, i in self.library.get_vocab().items():
             self.lengths[i] = len(token.encode()) if token in special else len(token)  # one character stands for each byte
         self.encoder = self._fast(path)
+        self.signs: dict[str, bytes] = {}
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -81,10 +84,26 @@ class ByteVocab:
                 part = rest[k]
                 ids = now.get(part)
                 if ids is None:
-                    ids = now[part] = before.get(part) or self._encode(f" {part}")
+                    ids = now[part] = before.get(part) or self._learn(part)
                 found[k] = ids
         return found
 
+    def _learn(self, part: str) -> bytes:
+        """Ids of a new part. Signs after its last letter are a piece of their own, so a known word stays known before a comma."""
+        word = part.rstrip(SIGNS)
+        if len(word) == len(part) or not word[-1:].isalpha():
+            return self._encode(f" {part}")
+        ids = self.now.get(word) or self.before.get(word)
+        if ids is None:
+            ids = self._encode(f" {word}")
+        self.now[word] = ids
+        signs = part[len(word) :]
+        if signs not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            self.signs[signs] = self._encode(signs)
+        return ids + self.signs[signs]
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteVocab:
