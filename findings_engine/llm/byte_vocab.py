@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import REMEMBERED_CHARS
+
 #: Parts that one generation of the memory holds; there are two.
 MEMORY = 450_000
 #: Signs that are neither letters, digits, white space nor the apostrophe of a contraction.
@@ -82,6 +84,9 @@ class ByteVocab:
         for k, ids in enumerate(found):
             if ids is None:
                 part = rest[k]
+                if len(part) > REMEMBERED_CHARS:
+                    found[k] = self._encode(f" {part}")
+                    continue
                 ids = now.get(part)
                 if ids is None:
                     ids = now[part] = before.get(part) or self._learn(part)

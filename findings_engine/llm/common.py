@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of labels that decide a fold: crc32 of the decimal doc_id, modulo this; fold 1 is held out.
 FOLDS, HELD_OUT_FOLD = 3, 1
+#: Longer words and parts of texts are worked out anew each time, so that what a worker remembers stays small.
+REMEMBERED_CHARS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

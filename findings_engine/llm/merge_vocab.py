@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import REMEMBERED_CHARS
+
 SPACE = "▁"
 #: Segments up to this many symbols advance together as rows of a matrix.
 WIDE = 24
@@ -196,7 +198,7 @@ class MergeVocab:
         added = {s: self.before[s] for s in old} | self.learn(missing - old)
         if len(self.now) + len(added) > MEMORY:
             self.before, self.now = self.now, {}
-        self.now |= added
+        self.now.update((s, x) for s, x in added.items() if len(s) <= REMEMBERED_CHARS)
         return added
 
 

@@ -57,6 +57,19 @@ def test_byte_vocab(plain):
         assert v.ids([t])[0].tolist() == v.library.encode(t, add_special_tokens=False).ids
 
 
+def test_memories_hold_no_long_parts():
+    """Texts without spaces are encoded alike, and no worker remembers them."""
+    long = ["y" * 500, "日本" * 300, "a " + "zq" * 200 + " b"]
+    v, pieces = load_bytes(BYTES), load_pieces(PIECES)
+    for _ in range(2):
+        for t in [f"x {t}" for t in long]:
+            assert v.ids([t])[0].tolist() == v.library.encode(t, add_special_tokens=False).ids
+            assert pieces.encode_decode([t])[0][0] == ",".join(map(str, pieces.library.encode(t)))
+    assert all(len(part) <= 64 for memory in (v.now, v.before, pieces.now, pieces.before) for part in memory)
+    scanner = toxicity.Scanner([lexicon.Term("idiot", False, 1, 1.0)])
+    assert len(scanner.hits("idiot " + "q" * 100)[0]) == 1 and list(scanner.quick) == ["idiot"]
+
+
 def test_packing(docs, plain):
     lib = load_bytes(BYTES).library
     want = collections.Counter((i, tuple(lib.encode(t, add_special_tokens=False).ids + [1])) for i, t in plain)
