@@ -22,7 +22,7 @@ SPACE = "▁"
 #: Segments up to this many symbols advance together as rows of a matrix.
 WIDE = 24
 #: Segments that one generation of the memory holds; there are two.
-MEMORY = 300_000
+MEMORY = 450_000
 #: Texts whose new segments are encoded together.
 BLOCK = 128
 _NO_RANK = np.iinfo(np.int32).max
@@ -69,8 +69,9 @@ class MergeVocab:
         self.unknown = lib.unk_id()
         self.bytes_of[self.unknown] = " ⁇ ".encode()
         self.text_of = [str(i) for i in range(size)]
-        self.now: dict[str, tuple[str, str]] = {}
-        self.before: dict[str, tuple[str, str]] = {}
+        #: A segment's ids as text, or with the text that they decode to where that isn't the segment itself.
+        self.now: dict[str, str | tuple[str, str]] = {}
+        self.before: dict[str, str | tuple[str, str]] = {}
 
     # -- the agenda ---------------------------------------------------------------------------------
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +169,7 @@ class MergeVocab:
         """The ids' pieces joined, with the space that stands in front."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
 
-    def learn(self, segments: set[str]) -> dict[str, tuple[str, str]]:
+    def learn(self, segments: set[str]) -> dict[str, str | tuple[str, str]]:
         """Encode and decode new segments; the library has to encode them alike."""
         new = list(segments)
         ids = self.merge([SPACE + s for s in new])
@@ -176,23 +177,31 @@ class MergeVocab:
         for s, x, y in zip(new, ids, theirs, strict=True):
             if x != y and s:
                 raise ValueError(f"the agenda and the library differ on {s!r}: {x} {y}")
-        text_of = self.text_of.__getitem__
-        return {s: (",".join(map(text_of, x)), self.pieces_text(x)) for s, x in zip(new, ids, strict=True)}
+        text_of, out = self.text_of.__getitem__, {}
+        for s, x in zip(new, ids, strict=True):
+            written, decoded = ",".join(map(text_of, x)), self.pieces_text(x)
+            out[s] = written if decoded == " " + s.replace(SPACE, " ") else (written, decoded)
+        return out
 
     def encode_decode(self, texts: list[str]) -> list[tuple[str, str]]:
         """Each text's ids, joined by commas, and the text that they decode to."""
         out = []
         for at in range(0, len(texts), BLOCK):
-            block = [self.segments(t) for t in texts[at : at + BLOCK]]
+            known_texts = texts[at : at + BLOCK]
+            block = [self.segments(t) for t in known_texts]
             found = [list(map(self.now.get, segments)) for segments in block]
             missing = {s for segments, known in zip(block, found, strict=True) if None in known for s, k in zip(segments, known, strict=True) if k is None}
             added = self._recall(missing) if missing else {}
-            for segments, known in zip(block, found, strict=True):
-                both = [k or added[s] for s, k in zip(segments, known, strict=True)] if None in known else known
-                out.append((",".join([b[0] for b in both]), "".join([b[1] for b in both]).removeprefix(" ")))
+            for text, segments, known in zip(known_texts, block, found, strict=True):
+                all_known = [added[s] if k is None else k for s, k in zip(segments, known, strict=True)] if None in known else known
+                try:  # every segment decodes to itself, and so does the text
+                    out.append((",".join(all_known), text.replace(SPACE, " ")))
+                except TypeError:
+                    both = [(k, " " + s.replace(SPACE, " ")) if isinstance(k, str) else k for s, k in zip(segments, all_known, strict=True)]
+                    out.append((",".join([b[0] for b in both]), "".join([b[1] for b in both]).removeprefix(" ")))
         return out
 
-    def _recall(self, missing: set[str]) -> dict[str, tuple[str, str]]:
+    def _recall(self, missing: set[str]) -> dict[str, str | tuple[str, str]]:
         """What the newer generation of the memory lacks: taken over from the older, or learned."""
         old = missing & self.before.keys()
         added = {s: self.before[s] for s in old} | self.learn(missing - old)
