@@ -259,6 +259,29 @@ def test_near_copies(docs, plain):
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_verified(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(300)]
+    base = list(rng.choice(words, 400))
+    texts = [base, sorted(base), base[::-1], base[:390] + ["end"] * 10, base[:250], [], []]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(5, "  "), (0, "an id again")], "doc_id long, text string")
+    prints = [near_copies.word_fingerprints(" ".join(t).encode()) for t in texts]
+    assert prints[0] == prints[1] == prints[2]  # the same words in another order: no copies
+    for part_bytes in (near_copies.PART_BYTES, 1500):
+        monkeypatch.setattr(near_copies.verified, "__defaults__", (part_bytes,))
+        assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == [0, 1, 2, 4, 5]
+
+
+def test_similar_pairs():
+    rng = np.random.default_rng(8)
+    sets = [set(rng.choice(60, rng.integers(0, 30), replace=False).tolist()) for _ in range(60)]
+    sets += [s - {next(iter(s))} for s in sets if s] + [set(range(5)), set(range(4))]
+    exact = lambda i, j: not sets[i] | sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    pairs = {frozenset(p) for p in near_copies.similar_pairs(sets)}
+    assert all(exact(*p) for p in pairs)
+    assert groups(range(len(sets)), exact) == groups(range(len(sets)), lambda i, j: frozenset((i, j)) in pairs)
+
+
 def test_mpeg_round_trip(docs, plain):
     rows = collections.Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in mpeg_audio.media_columns(docs).collect())
     padded = lambda t: mpeg_audio.payload_of(t.encode())
