@@ -4,9 +4,10 @@ Base kinds are patterns. A pattern's matches and the pieces between them, from t
 expression, give the matches' places in code points. The method adds spans of kind ``entropy``: candidates are
 long runs of token characters with a letter and a digit; a window of WINDOW characters slides over each, the
 counts of its characters change by one in and one out, and with them the sum of n log n that the Shannon entropy
-follows from. The windows at or above the threshold of the candidate's character class (hexadecimal digits, or
-all) give a span from the first one's start to the last one's end, unless the candidate is on the allow list
-or the span overlaps one of a base kind.
+follows from. The base kinds' spans are cut out of the candidates first, and each piece that is left of WINDOW
+characters or more stands for itself. A pattern of the allow list that begins with ^ rules out a whole piece; what any other
+matches is passed over as if the characters around it were adjacent. The windows at or above the threshold of the
+piece's character class (hexadecimal digits, or all) give a span for each run of them that overlap or touch.
 
 Null texts are empty and have no spans. Repeated rows give repeated rows, an empty table none. Only the named
 columns are read.
@@ -64,13 +65,14 @@ def spans(text: Column, pattern: str, kind: int, keep: Column | None = None) ->
     return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(_SPANS))
 
 
-def entropy_window(c: Column) -> Column:
-    """(first, last): start of the first window of the candidate that reaches its threshold, end of the last; -1 if none."""
+def entropy_runs(c: Column) -> Column:
+    """(first, last) of each run of overlapping or touching windows of the candidate that reach its threshold."""
     n_log_n = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 2)))
     least = F.when(F.rlike(c, F.lit("^[0-9a-fA-F]+$")), HEX_BITS).otherwise(TOKEN_BITS)
     zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
-    state = "struct<counts:array<int>,sum:double,first:int,last:int>"
-    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last")).cast(state)
+    runs = "array<struct<first:int,last:int>>"
+    state = f"struct<counts:array<int>,sum:double,runs:{runs}>"
+    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(runs).alias("runs")).cast(state)
     code = lambda i: F.instr(F.lit(ALPHABET), F.substring(c, i + 1, F.lit(1)))
 
     def step(acc: Column, i: Column) -> Column:
@@ -81,35 +83,76 @@ def entropy_window(c: Column) -> Column:
         total = acc["sum"] + F.when(new == old, 0.0).otherwise(gain - F.when(old == 0, 0.0).otherwise(loss))
         counts = F.transform(acc["counts"], lambda n, k: n + F.when((k == new) & (k != old), 1).when((k == old) & (k != new) & (k > 0), -1).otherwise(0))
         hit = (i >= WINDOW - 1) & (math.log2(WINDOW) - total / WINDOW >= least)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hit & (acc["first"] < 0), i - (WINDOW - 1)).otherwise(acc["first"]).alias("first"), F.when(hit, i + 1).otherwise(acc["last"]).alias("last")).cast(state)
+        before = acc["runs"]
+        latest = F.get(before, F.size(before) - 1)
+        joins = F.coalesce(latest["last"] >= i - (WINDOW - 1), F.lit(False))
+        one = F.array(F.struct(F.when(joins, latest["first"]).otherwise(i - (WINDOW - 1)).alias("first"), (i + 1).alias("last"))).cast(runs)
+        after = F.concat(F.when(joins, F.slice(before, F.lit(1), F.greatest(F.size(before) - 1, F.lit(0)))).otherwise(before), one)
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(hit, after).otherwise(before).alias("runs")).cast(state)
+
+    return F.when(F.length(c) > 0, F.aggregate(F.sequence(F.lit(0), F.length(c) - 1), start, step, lambda acc: acc["runs"])).otherwise(F.array().cast(runs))
+
+
+def entropy_window(c: Column) -> Column:
+    """(first, last): start of the first window of the candidate that reaches its threshold, end of the last; -1 if none."""
+    runs = entropy_runs(c)
+    first, last = F.get(runs, F.lit(0))["first"], F.get(runs, F.size(runs) - 1)["last"]
+    return F.struct(F.coalesce(first, F.lit(-1)).alias("first"), F.coalesce(last, F.lit(-1)).alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(c) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+def outside(run: Column, base: Column) -> Column:
+    """The pieces, as (start, end), of a span that no base span covers; ``base`` is sorted."""
+    kind = "array<struct<s:int,e:int>>"
+    none = F.array().cast(kind)
+    piece = lambda s, e: F.when(e > s, F.array(F.struct(s.alias("s"), e.alias("e"))).cast(kind)).otherwise(none)
+    start = F.struct(run["s"].alias("at"), none.alias("out")).cast(f"struct<at:int,out:{kind}>")
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.concat(acc["out"], piece(acc["at"], F.least(b["s"], run["e"]))).alias("out"))
+
+    return F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], run["e"])))
 
 
 def candidate(c: Column, allowed=ALLOWED) -> Column:
-    out = F.rlike(c, F.lit("[0-9]")) & F.rlike(c, F.lit("[A-Za-z]"))
+    """Whether a piece, without what the allow list passes over, may be a secret."""
+    out = F.rlike(c, F.lit("[0-9]")) & F.rlike(c, F.lit("[A-Za-z]")) & (F.length(c) >= WINDOW)
     for pattern in allowed:
-        out &= ~F.rlike(c, F.lit(pattern))
+        if pattern.startswith("^"):
+            out &= ~F.rlike(c, F.lit(pattern))
     return out
 
 
 def scan(df: DataFrame, text_col: str = "text", allowed=ALLOWED) -> DataFrame:
     """The rows with ``base`` and ``found``: sorted arrays of (start, kind, end), the base kinds and all."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    none = F.array().cast(_SPANS)
     secret = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= ASSIGN_LEAST)
     base = F.array_sort(F.concat(spans(text, ASSIGN, 0, secret), spans(text, ACCESS, 1), spans(text, HEX, 2)))
-    fit = F.transform(_places(text, CANDIDATE), lambda c: candidate(c, allowed))
+    fit = F.transform(_places(text, CANDIDATE), lambda c: F.rlike(c, F.lit("[0-9]")) & F.rlike(c, F.lit("[A-Za-z]")))
     df = df.withColumn("base", base).withColumn("runs", spans(text, CANDIDATE, 3, fit))
+    pieces = F.flatten(F.transform("runs", lambda run: outside(run, F.col("base"))))
+    pieces = F.filter(pieces, lambda x: x["e"] - x["s"] >= WINDOW)
+    pieces = F.transform(pieces, lambda x: F.struct(x["s"].alias("s"), F.substring(text, x["s"] + 1, x["e"] - x["s"]).alias("c")))
+
+    def passed_over(x: Column) -> Column:
+        holes = [spans(x["c"], pattern, 3) for pattern in allowed if not pattern.startswith("^")]
+        return F.struct(x["s"].alias("s"), x["c"].alias("c"), (F.concat(*holes) if holes else none).alias("holes"))
+
+    def placed(x: Column) -> Column:
+        kept = F.filter(F.sequence(F.lit(0), F.length(x["c"]) - 1), lambda i: ~F.exists(x["holes"], lambda h: (h["s"] <= i) & (i < h["e"])))
+        return F.struct(x["s"].alias("s"), x["c"].alias("c"), kept.alias("kept"))
+
+    def left(x: Column) -> Column:
+        c = F.array_join(F.transform(x["kept"], lambda i: F.substring(x["c"], i + 1, F.lit(1))), "")
+        return F.struct(x["s"].alias("s"), x["kept"].alias("kept"), c.alias("c"))
 
-    def narrowed(run: Column) -> Column:
-        window = entropy_window(F.substring(text, run["s"] + 1, run["e"] - run["s"]))
-        return F.struct(run["s"].alias("s"), window.alias("w"))
+    def narrowed(x: Column) -> Column:
+        place = lambda w: F.struct((x["s"] + x["kept"][w["first"]]).alias("s"), F.lit(3).alias("k"), (x["s"] + x["kept"][w["last"] - 1] + 1).alias("e"))
+        return F.transform(entropy_runs(x["c"]), place).cast(_SPANS)
 
-    hits = F.filter(F.transform("runs", narrowed), lambda x: x["w"]["first"] >= 0)
-    added = F.transform(hits, lambda x: F.struct((x["s"] + x["w"]["first"]).alias("s"), F.lit(3).alias("k"), (x["s"] + x["w"]["last"]).alias("e")))
-    df = df.withColumn("added", F.when(F.size("runs") > 0, added.cast(_SPANS)).otherwise(F.array().cast(_SPANS)))
-    own = F.filter("added", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return df.withColumn("found", F.array_sort(F.concat("base", own))).drop("runs", "added")
+    fitting = F.filter(F.transform(F.transform(F.transform(pieces, passed_over), placed), left), lambda x: candidate(x["c"], allowed))
+    df = df.withColumn("added", F.when(F.size("runs") > 0, F.flatten(F.transform(fitting, narrowed))).otherwise(none))
+    return df.withColumn("found", F.array_sort(F.concat("base", "added"))).drop("runs", "added")
 
 
 def as_text(found: Column) -> Column:
