@@ -369,6 +369,17 @@ def test_toxicity(spark):
     assert toxicity.score(df, empty).count() == 205 and toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxic_inflections():
+    clean = [f"the cat sat on a mat today number {i}" for i in range(300)] + [f"take some of it and scam no {i}" for i in range(5)]
+    bad = [f"you are {w} indeed {i}" for i in range(20) for w in ("an idiot", "idiots", "idiotic", "scum")]
+    model = toxicity.train([(t, 0) for t in clean] + [(t, 1) for t in bad])
+    assert ("idio", True) in {(t.text, t.prefix) for t in model.terms}
+    scanner = toxicity.Scanner(model.terms, model.common)
+    for word in ("idiot", "1diot", "ideot", "idi0t", "1diotic", "idi0ts", "idioten", "scum", "scvm"):
+        assert len(scanner.hits(f"such {word} today")[0]) == 1, word
+    assert scanner.hits("a scam today")[0] == []
+
+
 def test_logistic():
     x = np.array([[0.0], [1.0], [2.0], [3.0]])
     p = logistic.fit(x, np.array([0, 0, 1, 1])).probability(x)
