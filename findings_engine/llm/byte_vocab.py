@@ -3,7 +3,8 @@
 The vocabulary's pattern always starts a new piece at a space between two other characters that aren't white
 space, and looks at nothing left of it. So a text is cut there, each part (" word,") is encoded once and its
 ids are remembered; only new parts reach the encoder. A text that holds a special token's string goes to the
-library whole.
+library whole. A run of LONG_RUN white spaces and more never reaches the encoder's pattern, whose stack it would
+overflow: all of the run but a last character before other text is one piece, which is merged as such.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from .common import REMEMBERED_CHARS
 MEMORY = 450_000
 #: Signs that are neither letters, digits, white space nor the apostrophe of a contraction.
 SIGNS = ".,;:!?%&*$#"
+#: White space as the vocabulary's pattern knows it, so many in a row.
+LONG_RUN = 1000
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _MIXED_SPACE = re.compile(r"^ | $| \s|\s ")
 
@@ -60,7 +64,14 @@ class ByteVocab:
         return _LONE_SPACE.split(text) if _MIXED_SPACE.search(text) else text.split(" ")
 
     def _encode(self, text: str) -> bytes:
-        return array(self.kind().dtype.char, self.encoder.encode_ordinary(text)).tobytes()
+        ids, at = array(self.kind().dtype.char), 0
+        if len(text) >= LONG_RUN:
+            for run in _LONG_RUN.finditer(text):
+                ids.extend(self.encoder.encode_ordinary(text[at : run.start()]))
+                at = run.end() - (run.end() < len(text))
+                ids.extend(self.encoder._encode_single_piece(text[run.start() : at]))
+        ids.extend(self.encoder.encode_ordinary(text[at:]))
+        return ids.tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids as the library gives them without special tokens around it."""
