@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findings_engine.llm import near_copies, packing, quality, secrets_scan, toxicity
-from findings_engine.llm.common import shared_dir, table
+from findings_engine.llm.common import free_name, shared_dir, table
 
 ORACLE_SQL = None
 
@@ -34,9 +34,11 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts and n_chars of the new text."""
-    text = F.when(F.size("found") > 0, secrets_scan.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    found = secrets_scan.scan(docs).withColumn("text", text)
-    return found.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    base, found = free_name("base", docs.columns), free_name("found", docs.columns)
+    spans, masked = F.col(found), F.size(found) > 0
+    rows = secrets_scan.scan(docs, base=base, found=found)
+    rows = rows.withColumn("text", F.when(masked, secrets_scan.redacted(F.col("text"), spans)).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.when(masked, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column has it (names differ by more than case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
