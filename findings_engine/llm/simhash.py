@@ -5,10 +5,12 @@ class first, by an aggregation; only distinct ones enter the join. Node pairs of
 together from (root, root): a pair's children are the four pairs of its nodes' children, those under unlike
 bits with one more differing bit, and a pair over the budget is pruned with all below it.
 
-- On the driver the traversal runs over counts alone: at most 2**TOP_BITS of them, one for each prefix. A pair
-  of nodes that hold at most ``limit`` fingerprints each becomes a task; heavier ones split further.
-- In a task the traversal goes on over sorted arrays, whose ranges are the nodes, many pairs at a time. The links
-  found are at once reduced to a forest, so that a dense ball of fingerprints gives no more edges than nodes.
+- On the driver the traversal runs over counts alone: of each prefix of TOP_BITS bits, and of longer ones only under
+  and beside prefixes that hold more than ``limit`` fingerprints. A pair of nodes that hold at most ``limit`` each becomes
+  a task; heavier ones split further. The list of nodes and their tasks is broadcast only up to BROADCAST rows.
+- In a task the traversal goes on over sorted arrays, whose ranges are the nodes, WIDTH pairs at a time. The links
+  found are at once reduced to a forest, and a pair of nodes whose fingerprints are all connected already is passed over,
+  so that a dense ball of fingerprints gives no more edges than nodes and is not compared pair by pair.
 
 Connected components over the tasks' forests give the classes' components, and a join on the fingerprint gives
 each document's.
@@ -23,18 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 from .components import roots
 
 SHINGLE_WORDS, SEED, BUDGET = 3, 42, 3
-#: Prefix bits that the driver has counts for, and most fingerprints of a node in a task.
-TOP_BITS, MOST = 16, 2_000_000
+#: Prefix bits that the driver has counts for at first and how many more it takes under heavy ones; most fingerprints of a node in a task.
+TOP_BITS, MORE_BITS, MOST = 12, 4, 4_000_000
 #: Node pairs that a task expands at a time, and the leaf pairs below which it compares all.
-WIDTH, LEAF = 200_000, 6
-_ONE = np.uint64(1)
+WIDTH, LEAF = 8_192, 64
+#: Rows of the list of nodes and tasks (24 bytes each) up to which it is broadcast.
+BROADCAST = 200_000
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -65,35 +68,70 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 # -- the trie ---------------------------------------------------------------------------------------
-def plan(counts: dict[int, int], bits: int, limit: int, budget: int = BUDGET) -> list[tuple[int, int, int]]:
-    """Tasks (depth, prefix, prefix) that cover every pair within the budget. ``counts``: of each prefix of ``bits`` bits."""
-    levels = [counts]
-    for _ in range(bits):
+Levels = dict[int, dict[int, int]]
+
+
+def upwards(counts: dict[int, int], bits: int, stop: int = 0) -> Levels:
+    """Counts of the nodes of each depth from ``bits`` to ``stop``, from those at ``bits``."""
+    levels = {bits: counts}
+    for depth in range(bits - 1, stop - 1, -1):
         up: dict[int, int] = {}
-        for p, n in levels[0].items():
+        for p, n in levels[depth + 1].items():
             up[p >> 1] = up.get(p >> 1, 0) + n
-        levels.insert(0, up)
-    tasks, stack = [], [(0, 0, 0)] if counts else []
+        levels[depth] = up
+    return levels
+
+
+def plan(levels: Levels, limit: int, budget: int = BUDGET) -> list[tuple[int, int, int]]:
+    """Tasks (depth, prefix, prefix) that cover every pair within the budget."""
+    tasks, stack = [], [(0, 0, 0)] if levels[0] else []
     while stack:
         depth, a, b = stack.pop()
-        if depth == bits or max(levels[depth][a], levels[depth][b]) <= limit:
+        below = levels.get(depth + 1, {})
+        left, right = ([c for c in (2 * p, 2 * p + 1) if c in below] for p in (a, b))
+        if max(levels[depth][a], levels[depth][b]) <= limit or not left or not right:
             tasks.append((depth, a, b))
             continue
-        below = levels[depth + 1]
-        for x, y in ((0, 0), (0, 1), (1, 1)) if a == b else ((0, 0), (0, 1), (1, 0), (1, 1)):
-            p, q = 2 * a + x, 2 * b + y
-            if p in below and q in below and (p ^ q).bit_count() <= budget:
-                stack.append((depth + 1, p, q))
+        for p in left:
+            for q in right:
+                if (a != b or p <= q) and (p ^ q).bit_count() <= budget:
+                    stack.append((depth + 1, p, q))
     return tasks
 
 
-def _key(family: int, depth: int, a: int, b: int) -> int:
-    return (family << 3 * TOP_BITS) | (depth << 2 * TOP_BITS) | (a << TOP_BITS) | b
+def _key(family: int, depth: int, number: int) -> int:
+    return (family << 56) | (depth << 48) | number
+
+
+class Joined:
+    """Which of n sorted values are connected so far."""
+
+    def __init__(self, n: int):
+        self.n, self.a, self.b, self.held = n, [], [], 0
+        self.label = np.arange(n)
+        self.until = self.label + 1  # where the run of equal labels that each value lies in ends
 
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.a.append(i)
+        self.b.append(j)
+        self.held += len(i)
+        if self.held > self.n // 2 + WIDTH:
+            self.merge()
 
-def _unkey(task: int) -> tuple[int, int, int, int]:
-    mask = (1 << TOP_BITS) - 1
-    return task >> 3 * TOP_BITS, (task >> 2 * TOP_BITS) & mask, (task >> TOP_BITS) & mask, task & mask
+    def merge(self) -> np.ndarray:
+        """The least value that each is connected with."""
+        if self.held:
+            at = np.flatnonzero(self.label != np.arange(self.n))
+            self.label = forest(self.n, np.concatenate([at, *self.a]), np.concatenate([self.label[at], *self.b]))
+            self.a, self.b, self.held = [], [], 0
+            ends = np.append(np.flatnonzero(np.diff(self.label)) + 1, self.n)
+            self.until = np.repeat(ends, np.diff(ends, prepend=0))
+        return self.label
+
+    def settled(self, pairs: np.ndarray) -> np.ndarray:
+        """Pairs of ranges whose values are all connected."""
+        la, ha, lb, hb, _ = pairs
+        return (self.until[la] >= ha) & (self.until[lb] >= hb) & (self.label[la] == self.label[lb])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,90 +147,107 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = nearer
 
 
-def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], depth: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs, one of range a and one of range b of the sorted distinct values, that differ in at most ``budget`` bits.
+def trie_links(values: np.ndarray, a: tuple[int, int], b: tuple[int, int], depth: int, budget: int = BUDGET) -> Joined:
+    """What links of at most ``budget`` differing bits between one value of range a and one of range b connect.
 
-    Both ranges are nodes at ``depth``. If they are the same node, each pair comes once.
+    ``values`` are sorted and distinct. Both ranges are nodes at ``depth``. If they are the same node, each pair is met once.
     """
+    joined = Joined(len(values))
     if a[0] == a[1] or b[0] == b[1]:
-        return
+        return joined
     before = int(values[a[0]] ^ values[b[0]]) >> (64 - depth) if depth else 0
-    # the count of ones so far under each bit: within a node at depth d, ones under bit 63 - d are its right child
-    ones = [None] * 64
-    stack = [(depth, np.array([[a[0], a[1], b[0], b[1], before.bit_count()]], np.int64))]
+    stack = [(depth, np.array([[a[0]], [a[1]], [b[0]], [b[1]], [before.bit_count()]], np.int64))]  # bounds of both ranges, differing bits
     while stack:
         d, pairs = stack.pop()
-        if len(pairs) > WIDTH:
-            half = len(pairs) // 2
-            stack += [(d, pairs[:half]), (d, pairs[half:])]
+        if (width := pairs.shape[1]) > WIDTH:
+            stack += [(d, pairs[:, : width // 2]), (d, pairs[:, width // 2 :])]
             continue
-        n, m = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
-        small = n * m <= LEAF if d < 64 else np.ones(len(pairs), bool)
+        pairs = pairs[:, ~joined.settled(pairs)]
+        la, ha, lb, hb, diff = pairs
+        size = (ha - la) * (hb - lb)
+        small = size <= LEAF if d < 64 else np.ones(len(size), bool)
         if small.any():
-            s, wide = pairs[small], m[small]
-            size = n[small] * wide
-            of = np.repeat(np.arange(len(s)), size)
+            first, second, wide, size, own = la[small], lb[small], (hb - lb)[small], size[small], (la == lb)[small]
+            of = np.repeat(np.arange(len(size)), size)
             k = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-            i, j = s[of, 0] + k // wide[of], s[of, 2] + k % wide[of]
-            near = (np.bitwise_count(values[i] ^ values[j]) <= budget) & ((i < j) | (s[of, 0] != s[of, 2]))
+            down = k // wide[of]
+            i, j = first[of] + down, second[of] + k - down * wide[of]
+            near = (np.bitwise_count(values[i] ^ values[j]) <= budget) & ((i < j) | ~own[of])
             if near.any():
-                yield i[near], j[near]
-        pairs = pairs[~small]
-        if not len(pairs):
+                joined.add(i[near], j[near])
+        if small.all():
             continue
-        if ones[d] is None:
-            ones[d] = np.concatenate([[0], np.cumsum((values >> np.uint64(63 - d)) & _ONE).astype(np.int64)])
-        la, ha, lb, hb, diff = pairs.T
-        ma, mb = ha - (ones[d][ha] - ones[d][la]), hb - (ones[d][hb] - ones[d][lb])
-        same = (la == lb) & (ha == hb)
-        children = [np.stack(c, axis=1) for c in ((la, ma, lb, mb, diff), (ma, ha, mb, hb, diff), (la, ma, mb, hb, diff + 1))]
-        children.append(np.stack((ma, ha, lb, mb, diff + 1), axis=1)[~same])
-        below = np.concatenate(children)
-        below = below[(below[:, 0] < below[:, 1]) & (below[:, 2] < below[:, 3]) & (below[:, 4] <= budget)]
-        if len(below):
+        la, ha, lb, hb, diff = pairs[:, ~small]
+        bit, above = np.uint64(1 << (63 - d)), np.uint64(2**64 - 2 ** (64 - d))
+        ma, mb = (np.searchsorted(values, (values[low] & above) | bit) for low in (la, lb))  # where the ones of each range begin
+        more, other = diff + 1, la != lb
+        below = np.concatenate([np.stack(c) for c in ((la, ma, lb, mb, diff), (ma, ha, mb, hb, diff), (la, ma, mb, hb, more))] + [np.stack((ma, ha, lb, mb, more))[:, other]], axis=1)
+        below = below[:, (below[0] < below[1]) & (below[2] < below[3]) & (below[4] <= budget)]
+        if below.shape[1]:
             stack.append((d + 1, below))
+    return joined
 
 
-def task_forest(values: np.ndarray, depth: int, prefix: int, other: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a forest over the values, of the two nodes, that connects what the budget links."""
+def task_forest(values: np.ndarray, depth: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest over the values, all of one node or of two at ``depth``, that connects what the budget links there."""
     values = np.sort(values)
-    bounds = [np.searchsorted(values >> np.uint64(64 - depth), np.uint64(p), side) if depth else (0, len(values))[side == "right"] for p in (prefix, other) for side in ("left", "right")]
-    n, held, a, b = len(values), 0, [], []
-    for i, j in trie_links(values, (bounds[0], bounds[1]), (bounds[2], bounds[3]), depth, budget):
-        a.append(i)
-        b.append(j)
-        if (held := held + len(i)) > 4 * n + WIDTH:
-            label = forest(n, np.concatenate(a), np.concatenate(b))
-            a, b = [np.flatnonzero(label != np.arange(n))], [label[label != np.arange(n)]]
-            held = len(a[0])
-    if not a:
-        return values[:0], values[:0]
-    label = forest(n, np.concatenate(a), np.concatenate(b))
+    n = len(values)
+    prefixes = values >> np.uint64(64 - depth) if depth else np.zeros(n, np.uint64)
+    middle = int(np.searchsorted(prefixes, prefixes[0], "right")) if n else 0
+    one, two = ((0, n), (0, n)) if middle == n else ((0, middle), (middle, n))
+    label = trie_links(values, one, two, depth, budget).merge()
     member = np.flatnonzero(label != np.arange(n))
     return values[member], values[label[member]]
 
 
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def _counted(distinct: DataFrame, bits: int) -> dict[int, dict[int, int]]:
+    """Of each family the number of fingerprints under each prefix."""
+    found = distinct.groupBy("family", _prefix(bits).alias("p")).count().toArrow()
+    out: dict[int, dict[int, int]] = {}
+    for family, p, n in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True):
+        out.setdefault(family, {})[p] = n
+    return out
+
+
+def trie_levels(distinct: DataFrame, limit: int | None, budget: int) -> tuple[dict[int, Levels], int]:
+    """Of each family the counts that the plan needs, and the limit of a node."""
+    found = _counted(distinct, TOP_BITS)
+    limit = limit or min(MOST, max(4096, sum(n for counts in found.values() for n in counts.values()) // 16))
+    levels = {family: upwards(counts, TOP_BITS) for family, counts in found.items()}
+    bits = TOP_BITS
+    while bits < 64:
+        heavy = [(family, p) for family, held in levels.items() for p, n in held.get(bits, {}).items() if n > limit]
+        beside = [(family, p) for family, h in heavy for p in levels[family][bits] if (p ^ h).bit_count() <= budget]
+        if not beside:
+            break
+        known = distinct.sparkSession.createDataFrame(sorted(set(beside)), "family int, q long")
+        under = distinct.join(known, (distinct["family"] == known["family"]) & (_prefix(bits) == known["q"]), "left_semi")
+        for family, counts in _counted(under, bits + MORE_BITS).items():
+            levels[family].update((d, c) for d, c in upwards(counts, bits + MORE_BITS, bits + 1).items())
+        bits += MORE_BITS
+    return levels, limit
+
+
 def links(distinct: DataFrame, budget: int = BUDGET, limit: int | None = None) -> DataFrame:
     """(family, a, b): edges between the distinct (family, fp) that connect, in each family, whatever the budget links."""
     spark = distinct.sparkSession
-    prefix = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
-    rows = distinct.groupBy("family", prefix.alias("p")).count().collect()  # at most 2**TOP_BITS for a family
-    limit = limit or min(MOST, max(4096, sum(r[2] for r in rows) // 16))
-    dealt_to: list[tuple[int, int, list[int]]] = []
-    for family in sorted({r[0] for r in rows}):
-        counts = {r[1]: r[2] for r in rows if r[0] == family}
-        of_node: dict[tuple[int, int], list[int]] = {}
-        for depth, a, b in plan(counts, TOP_BITS, limit, budget):
-            for node in {a, b}:
-                of_node.setdefault((depth, node), []).append(_key(family, depth, a, b))
-        dealt_to += [(family, p, [t for depth in range(TOP_BITS + 1) for t in of_node.get((depth, p >> (TOP_BITS - depth)), ())]) for p in counts]
-    dealt = spark.createDataFrame(dealt_to, "family int, p int, tasks array<long>")
-    dealt = distinct.select("family", "fp", prefix.alias("p")).join(F.broadcast(dealt), ["family", "p"]).select(F.explode("tasks").alias("task"), "fp")
+    levels, limit = trie_levels(distinct, limit, budget)
+    rows = [(family, depth, node, _key(family, depth, k)) for family, held in sorted(levels.items()) for k, (depth, a, b) in enumerate(plan(held, limit, budget)) for node in {a, b}]
+    depths = sorted({r[1] for r in rows}) or [0]
+    kinds = (("family", pa.int32()), ("depth", pa.int32()), ("node", pa.int64()), ("task", pa.int64()))
+    nodes = spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)}))
+    under = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(d).alias("node")) for d in depths)))
+    at = distinct.select("family", "fp", under.alias("at")).select("family", "at.depth", "at.node", "fp")
+    dealt = at.join(F.broadcast(nodes) if len(rows) <= BROADCAST else nodes, ["family", "depth", "node"]).select("task", "fp")
 
     def run(group: pa.Table) -> pa.Table:
-        family, depth, prefix, other = _unkey(group.column("task")[0].as_py())
-        a, b = task_forest(group.column("fp").to_numpy().view(np.uint64).copy(), depth, prefix, other, budget)
-        return pa.table({"family": pa.array([family] * len(a), pa.int32()), "a": a.view(np.int64), "b": b.view(np.int64)})
+        task = group.column("task")[0].as_py()
+        a, b = task_forest(group.column("fp").to_numpy().view(np.uint64).copy(), (task >> 48) & 255, budget)
+        return pa.table({"family": pa.array([task >> 56] * len(a), pa.int32()), "a": a.view(np.int64), "b": b.view(np.int64)})
 
     return dealt.groupBy("task").applyInArrow(run, "family int, a long, b long")
 
