@@ -6,13 +6,14 @@ tests/llm compares the stages with brute-force versions.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findings_engine.llm import near_copies, packing, quality, secrets_scan, toxicity
-from findings_engine.llm.common import free_name, shared_dir, table
+from findings_engine.llm.common import free_name, remove, shared_dir, table
 
 ORACLE_SQL = None
 
@@ -52,8 +53,14 @@ STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_copie
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage. A stage's folder goes when the next one is written, the last when the driver's process ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        atexit.register(remove, spark, path)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -13,7 +13,7 @@ their distinct shingles of SHINGLE_WORDS words is an edge, except pairs that edg
 large group is dealt in blocks of pairs of its parts, so that a task holds about 2 * PART_BYTES of text whatever the size.
 
 A text of fewer words is one shingle; a text without words is a copy of any other such text. A null id belongs to no group and its row stays; of repeated
-rows of one id one stays. An empty table gives none.
+rows of one id the first by text stays. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 from .components import roots
 from .simhash import BUDGET, SEED, links
 
@@ -176,8 +176,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes, linked = groups(docs, id_col, text_col)
     least = nodes.join(linked.filter("node <> root").select("node"), "node", "left_anti").withColumnRenamed("node", id_col)
     kept = docs.join(least, id_col, "left_semi")
-    nth = "_nth"
-    while nth in docs.columns:
-        nth += "_"
-    kept = kept.withColumn(nth, F.row_number().over(W.partitionBy(id_col).orderBy(id_col))).filter(F.col(nth) == 1)
+    nth = free_name("_nth", docs.columns)
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = W.partitionBy(id_col).orderBy(text_col, F.xxhash64(*plain))
+    kept = kept.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
