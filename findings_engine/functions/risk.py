@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Indicator codes and the categories that they imply. A code's letter is its severity.
@@ -12,6 +12,25 @@ CATEGORIES = {
     "M1": ("Suspicious", "Ghost/Stale"), "M2": ("Suspicious",), "M3": ("Suspicious",), "M4": ("Suspicious", "Ghost/Stale"),
     "L1": ("Suspicious",), "L2": (), "L3": ("Ghost/Stale",),
 }
+# What each indicator says.
+LABELS = {
+    "C1": "advance/registration fee or payment requested",
+    "C2": "sensitive personal data demanded before a formal offer",
+    "C3": "guaranteed income with pressure tactics",
+    "C4": "confirmed scam pattern (phishing, fake checks, impersonation)",
+    "H1": "recruiter uses a free-email domain while claiming to represent a real company",
+    "H2": "strong urgency language",
+    "H3": "missing or vague company identity",
+    "H4": "email/domain does not match the claimed company",
+    "H5": "strong ghost/stale signals (evergreen reposting, no concrete team detail)",
+    "M1": "vague JD (no responsibilities, team, or deliverables)",
+    "M2": "no salary range where the market normally shows one",
+    "M3": "unprofessional language",
+    "M4": "minimal company online presence",
+    "L1": "minor title/responsibilities mismatch",
+    "L2": "benefits not mentioned",
+    "L3": "single repost",
+}
 LEVELS = ("Low", "Medium", "High", "Critical")
 SEVERITIES = {"C": "Critical", "H": "High", "M": "Medium", "L": "Low"}
 
@@ -48,3 +67,27 @@ def confidence(found: Column, risk: Column) -> Column:
 
 def tier(risk: Column) -> Column:
     return F.when(risk.isin("Critical", "High"), "Suspicious").when(risk == "Medium", "Proceed with Caution").otherwise("High Confidence")
+
+
+def severity(code: Column) -> Column:
+    """The severity that a known code's letter stands for; ``Unknown`` for others."""
+    known = F.create_map(*(F.lit(x) for c in CATEGORIES for x in (c, SEVERITIES[c[0]])))
+    return F.coalesce(F.try_element_at(known, code), F.lit("Unknown"))
+
+
+def label(code: Column) -> Column:
+    """What a code says; empty for an unknown one."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), code), F.lit(""))
+
+
+def assessed(found: Column) -> Column:
+    """The whole assessment of an array of codes: level, tier, categories, confidence and the indicators with severity and label."""
+    risk = level(found)
+    one = lambda x: F.struct(x.alias("code"), severity(x).alias("severity"), label(x).alias("label"))
+    return F.struct(risk.alias("level"), tier(risk).alias("tier"), categories(found).alias("categories"), confidence(found, risk).alias("confidence"), F.transform(found, one).alias("indicators"))
+
+
+def dimension(spark) -> DataFrame:
+    """code, severity, label, categories of every indicator."""
+    rows = [(c, SEVERITIES[c[0]], LABELS[c], list(v)) for c, v in CATEGORIES.items()]
+    return spark.createDataFrame(rows, "code string, severity string, label string, categories array<string>")

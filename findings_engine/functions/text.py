@@ -29,6 +29,15 @@ def escape_cell(c: Column) -> Column:
     return trimmed(F.replace(F.regexp_replace(c, r"\r?\n|\r", " "), F.lit("|"), F.lit("\\|")))
 
 
+def unescape_cell(c: Column) -> Column:
+    return trimmed(F.replace(c, F.lit("\\|"), F.lit("|")))
+
+
+def shown(c: Column) -> Column:
+    """The cell, or the dash that stands for no value."""
+    return F.when(is_sentinel(c), DASH).otherwise(trimmed(c))
+
+
 def is_sentinel(c: Column) -> Column:
     return F.coalesce(F.lower(trimmed(c)).isin(*SENTINELS), F.lit(True))
 
@@ -55,6 +64,6 @@ def padded(number: Column, width: int = 3) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
-def messages(*rules: tuple[Column, str]) -> Column:
+def messages(*rules: tuple[Column, Column | str]) -> Column:
     """The messages of the broken rules, in order."""
-    return F.array_compact(F.array(*(F.when(bad, F.lit(text)) for bad, text in rules)))
+    return F.array_compact(F.array(*(F.when(bad, text if isinstance(text, Column) else F.lit(text)) for bad, text in rules)))

@@ -6,7 +6,7 @@ import re
 from urllib.parse import parse_qsl, quote_plus, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,6 +17,7 @@ TRACKING_PREFIXES = ("utm_", "fbclid", "gclid", "msclkid", "igshid", "mc_cid", "
 TRACKING_KEYS = ("referrer", "ref")
 _PLAIN = r"^https?://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:/[A-Za-z0-9_.\-/]*)?(?:\?[A-Za-z0-9_=&.\-]*)?(?:#[A-Za-z0-9_\-/]*)?\z"
 _DOTS = r"/\.{1,2}(?:/|\?|#|\z)"
+_NUMERIC_HOST = r"^https?://(?:[^/?#]*\.)?(?:[0-9]+|0[xX][0-9a-fA-F]*)(?:[/?#]|\z)"
 
 
 def is_tracking(key: Column) -> Column:
@@ -27,12 +28,23 @@ def is_tracking(key: Column) -> Column:
     return out
 
 
+def _is_plain(url: Column) -> Column:
+    return F.rlike(url, F.lit(_PLAIN)) & ~F.rlike(url, F.lit(_DOTS)) & ~F.rlike(url, F.lit(_NUMERIC_HOST))
+
+
 def normalized(url: Column) -> Column:
     """The identity of a URL: lower-case host, tracking parameters and fragment dropped, the others sorted by key."""
-    plain = F.rlike(url, F.lit(_PLAIN)) & ~F.rlike(url, F.lit(_DOTS))
+    plain = _is_plain(url)
     return F.when(plain, _fast(url)).otherwise(_slow(F.when(~plain, url)))  # the vectorised function gets nulls for plain ones
 
 
+def with_normalized(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows with the identity of a URL. Plain URLs stay in SQL; only the others are sent to the vectorised function."""
+    url = trimmed(F.col(column))
+    plain = F.coalesce(_is_plain(url), F.lit(True))
+    return df.filter(plain).withColumn(name, _fast(url)).unionByName(df.filter(~plain).withColumn(name, _slow(url)))
+
+
 def _fast(url: Column) -> Column:
     base = F.regexp_extract(url, r"^([^?#]*)", 1)
     origin = F.lower(F.regexp_extract(base, "^(https?://[^/]*)", 1))
@@ -50,6 +62,26 @@ def _fast(url: Column) -> Column:
     return F.when(job != "", F.concat(F.regexp_replace(href, "/\\z", ""), F.lit("/#/job/"), job)).otherwise(href)
 
 
+def _number(part: str) -> int:
+    """A part of a numeric host: decimal, octal with a leading zero, or hexadecimal. ValueError if it is none."""
+    if part.lower().startswith("0x"):
+        return int(part[2:] or "0", 16)
+    return int(part, 8) if len(part) > 1 and part.startswith("0") else int(part)
+
+
+def _host_of(name: str) -> str:
+    """The host as browsers have it: IDNs in ASCII, and hosts whose last part is a number as dotted IPv4 (ValueError if out of range)."""
+    host = name if name.isascii() else name.encode("idna").decode()
+    parts = host.removesuffix(".").split(".")
+    if not re.fullmatch(r"[0-9]+|0[xX][0-9a-fA-F]*", parts[-1]):
+        return host
+    numbers = [_number(p) for p in parts]
+    if len(numbers) > 4 or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
+        raise ValueError(f"no address: {name}")
+    value = numbers[-1] + sum(n << (8 * (3 - k)) for k, n in enumerate(numbers[:-1]))
+    return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+
+
 def normalized_text(raw: str | None) -> str | None:
     """The same for any text, row by row; what is no http(s) URL is lower-cased."""
     if raw is None:
@@ -59,7 +91,7 @@ def normalized_text(raw: str | None) -> str | None:
         return text.lower()
     try:
         u = urlsplit(text.replace("\\", "/"))
-        host, port = (u.hostname or "").encode("idna").decode(), u.port
+        host, port = _host_of(u.hostname or ""), u.port
     except (ValueError, UnicodeError):
         return text.lower()
     if not host:
@@ -70,8 +102,8 @@ def normalized_text(raw: str | None) -> str | None:
     parts: list[str] = []
     pieces = u.path.split("/")[1:]
     for n, p in enumerate(pieces):
-        if p in (".", "..", "%2e", "%2E"):
-            parts = parts[:-1] if p == ".." else parts
+        if (dots := p.lower().replace("%2e", ".")) in (".", ".."):
+            parts = parts[:-1] if dots == ".." else parts
             parts += [""] * (n == len(pieces) - 1)
         else:
             parts.append("".join(c if "!" <= c <= "~" and c not in "\"<>`{}^" else "".join(f"%{b:02X}" for b in c.encode()) for c in p))
@@ -94,12 +126,16 @@ def _slow(url: pd.Series) -> pd.Series:
 
 def identity(url: Column, title: Column, source: Column) -> Column:
     """``url:`` and the URL's identity, or without a URL ``title:…|src:…``."""
-    by_title = F.concat(F.lit("title:"), slug(title), F.lit("|src:"), slug(source))
+    by_title = F.concat(F.lit("title:"), slug(F.coalesce(title, F.lit(""))), F.lit("|src:"), slug(F.coalesce(source, F.lit(""))))
     return F.when(F.rlike(url, F.lit("(?i)^https?://")), F.concat(F.lit("url:"), normalized(trimmed(url)))).otherwise(by_title)
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?([^/?#]*)", 1))
+    """The host in lower case, without user and port; of a text that is no http(s) URL what stands before its first slash."""
+    cell = trimmed(url)
+    authority = F.regexp_extract(cell, r"(?i)^https?:[\\/]*([^/?#\\]*)", 1)
+    named = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":[0-9]*\z", "")
+    return F.lower(F.when(F.rlike(cell, F.lit("(?i)^https?://")), named).otherwise(F.substring_index(cell, "/", 1)))
 
 
 def has_suffix(h: Column, suffix: str) -> Column:

@@ -128,13 +128,14 @@ def _records(doc: Column, board: Board) -> Column:
     return F.when(_is("ARRAY", doc), F.try_variant_get(doc, "$", "array<variant>")).otherwise(held) if board.bare else held
 
 
-def postings(documents: DataFrame, board_col: str = "board", payload: str = "payload", company: str = "company", name: str = "name", boards: tuple[Board, ...] = BOARDS) -> DataFrame:
-    """board, pos and FIELDS of each posting in the documents (board, JSON text, the entry's company and name).
+def postings(documents: DataFrame, board_col: str = "board", payload: str = "payload", company: str = "company", name: str = "name", boards: tuple[Board, ...] = BOARDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """board, pos and FIELDS of each posting in the documents (board, JSON text, the entry's company and name), and columns to ``keep``.
 
     An unknown board has no postings. Each document is parsed once; a record costs its own board's rules only.
     """
     context = F.coalesce(F.nullif(trimmed(F.col(company)), F.lit("")), trimmed(F.col(name)), F.lit(""))
-    rows = documents.select(F.lower(trimmed(F.col(board_col))).alias("board"), context.alias("_ctx"), F.try_parse_json(F.col(payload)).alias("_doc"))
+    others = [F.col(c).alias(f"_keep_{c}") for c in keep]
+    rows = documents.select(*others, F.lower(trimmed(F.col(board_col))).alias("board"), context.alias("_ctx"), F.try_parse_json(F.col(payload)).alias("_doc"))
 
     def by_board(make) -> Column:
         out = None
@@ -143,11 +144,13 @@ def postings(documents: DataFrame, board_col: str = "board", payload: str = "pay
         return out
 
     rows = rows.withColumn("_records", by_board(lambda b: _records(F.col("_doc"), b)))
-    rows = rows.select("board", "_ctx", F.posexplode("_records").alias("pos", "_job"))
+    kept = [f"_keep_{c}" for c in keep]
+    rows = rows.select(*kept, "board", "_ctx", F.posexplode("_records").alias("pos", "_job"))
     job, ctx = F.col("_job"), F.col("_ctx")
     needed = by_board(lambda b: F.coalesce(*(F.nullif(scalar(job, n), F.lit("")) for n in b.needs)).isNotNull() if b.needs else F.lit(True))
     posting = by_board(lambda b: F.struct(*(rule(job, ctx, b.fields[f], trim=f != "description").alias(f) for f in FIELDS)))
-    return rows.filter(needed).select("board", "pos", posting.alias("p")).select("board", "pos", *(F.col(f"p.{f}").alias(f) for f in FIELDS))
+    named = [F.col(f"_keep_{c}").alias(c) for c in keep]
+    return rows.filter(needed).select(*kept, "board", "pos", posting.alias("p")).select("board", "pos", *(F.col(f"p.{f}").alias(f) for f in FIELDS), *named)
 
 
 def routed(url: Column, boards: tuple[Board, ...] = BOARDS) -> Column:

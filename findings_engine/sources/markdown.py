@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import escape_cell, trimmed
 
 # The columns of the findings table and their order.
+LABELS = ("#", "date", "title", "source", "company", "location", "url", "risk", "confidence", "status", "report", "notes")
 COLUMNS = ("num", "date", "title", "source", "company", "location", "url", "risk", "confidence", "status", "report", "notes")
 
 
 def cells(line: Column) -> Column:
     """The cells of a line: one outer pipe off at each side, cut at pipes that no backslash escapes."""
-    inner = F.regexp_replace(trimmed(line), r"^\||(?<!\\)\|\z", "")
+    inner = F.regexp_replace(trimmed(line), r"^\||\|\z", "")
     return F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda x: trimmed(F.replace(x, F.lit("\\|"), F.lit("|"))))
 
 
@@ -22,7 +23,10 @@ def separator(line: Column) -> Column:
 
 
 def parse(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, pos, the table's columns (null where the header lacks one), raw, malformed. Files are split where they are read."""
+    """path, pos, the table's columns (null where the header lacks one), raw, n_cells, malformed. Files are split where they are read.
+
+    A header's labels are those that the table is written with (``#`` for num), in any case.
+    """
     lines = F.split(F.col(text), r"\r?\n", -1)
     table = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("raw"))), lambda x: F.startswith(F.ltrim(x["raw"]), F.lit("|")))
     header = F.transform(cells(F.col("t")[0]["raw"]), F.lower)
@@ -32,10 +36,10 @@ def parse(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame
     rows = rows.select(path, header.alias("header"), rest.alias("rest")).withColumn("line", first)
     rows = rows.select(path, "header", F.explode(F.filter("rest", lambda x, i: F.col("line").isNull() | (i != F.col("line")))).alias("row"))
     rows = rows.select(path, "header", F.col("row.pos").alias("pos"), F.col("row.raw").alias("raw"), cells(F.col("row.raw")).alias("cells"))
-    known = F.array(*map(F.lit, COLUMNS))
+    known = F.array(*map(F.lit, LABELS))
     malformed = (F.size("cells") != F.size("header")) | (F.size(F.array_except("header", known)) > 0)
-    value = lambda c: F.when(~malformed, F.try_element_at("cells", F.nullif(F.array_position("header", c), F.lit(0)).cast("int"))).alias(c)
-    return rows.select(path, "pos", *map(value, COLUMNS), "raw", malformed.alias("malformed"))
+    value = lambda c, label: F.when(~malformed, F.try_element_at("cells", F.nullif(F.array_position("header", label), F.lit(0)).cast("int"))).alias(c)
+    return rows.select(path, "pos", *map(value, COLUMNS, LABELS), "raw", F.size("cells").alias("n_cells"), malformed.alias("malformed"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

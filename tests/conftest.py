@@ -6,7 +6,7 @@ import pytest
 
 ROOT = str(Path(__file__).parent.parent)
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + str(Path(__file__).parent) + os.pathsep + os.environ.get("PYTHONPATH", "")
 os.environ.setdefault("TZ", "UTC")
 
 

@@ -1,6 +1,6 @@
 from findings_engine.sources import markdown, tsv
 
-HEADER = "| num | date | title | source | company | location | url | risk | confidence | status | report | notes |"
+HEADER = "| # | date | title | source | company | location | url | risk | confidence | status | report | notes |"
 
 
 def test_markdown_table(spark, tmp_path):
@@ -19,4 +19,4 @@ def test_additions(spark, tmp_path):
     (tmp_path / "3.txt").write_text("ignored")
     good, bad = sorted(tsv.read(spark, str(tmp_path)).collect(), key=lambda r: r.path)
     assert (good.url, good.num, good.company, good.errors) == ("http://x", "1", None, [])
-    assert bad.num is None and "a label occurs twice" in bad.errors and "missing label url" in bad.errors
+    assert bad.num is None and "repeated label num" in bad.errors and "missing label url" in bad.errors
