@@ -20,6 +20,20 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(x), -30, 30)))
 
 
+def sums(model: Logistic, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows the gradient of the log-likelihood at the model's weights, and minus its second derivative."""
+    z = np.hstack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-np.clip(z @ model.weights, -30, 30)))
+    return z.T @ (y - p), (z.T * np.maximum(p * (1 - p), 1e-6)) @ z
+
+
+def newton_step(weights: np.ndarray, of: list[np.ndarray], ridge: float = 1.0) -> np.ndarray:
+    """The weights after a step from the rows' sums."""
+    penalty = np.append(np.full(len(weights) - 1, ridge), 1e-6)
+    gradient, hessian = of
+    return weights + np.clip(np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * weights), -4, 4)
+
+
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 40) -> Logistic:
     """Newton steps on standardised features. Without both labels the constant rate, smoothed."""
     x, y = np.asarray(x, float), np.asarray(y, float)
