@@ -16,12 +16,17 @@ from .states import Catalog
 
 @dataclass(frozen=True)
 class Merge:
-    """``errors``: name, message. ``accepted`` and ``skipped`` (with duplicate_of): additions. ``rows``: the tracker afterwards."""
+    """``errors``: name, place, message. ``known``: the tracker's rows, canonical. ``accepted`` and ``skipped`` (with duplicate_of): additions."""
 
     errors: DataFrame
+    known: DataFrame
     accepted: DataFrame
     skipped: DataFrame
-    rows: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        """The tracker afterwards."""
+        return joined(self.known, self.accepted)
 
 
 def errors_of(additions: DataFrame, catalog: Catalog) -> DataFrame:
@@ -44,7 +49,7 @@ def merged(rows: DataFrame, additions: DataFrame, catalog: Catalog) -> Merge:
     seen = first_wins(new, "key", "name", "num", "_earlier").join(of, F.col("key") == F.col("_key"), "left")
     seen = seen.withColumn("duplicate_of", F.coalesce("_known", "_earlier")).drop("_key", "_known", "_earlier")
     accepted = seen.filter("duplicate_of is null").drop("duplicate_of")
-    return Merge(found, accepted, seen.filter("duplicate_of is not null"), joined(known, accepted))
+    return Merge(found, known, accepted, seen.filter("duplicate_of is not null"))
 
 
 def joined(known: DataFrame, accepted: DataFrame) -> DataFrame:

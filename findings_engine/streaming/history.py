@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.identity import first_wins
+from ..sources.listings import exists
 
 
 def dedup_stream(postings: DataFrame, history: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
@@ -19,8 +20,7 @@ def dedup_stream(postings: DataFrame, history: str, checkpoint: str, key: str, o
     def batch(df: DataFrame, number: int) -> None:
         spark: SparkSession = df.sparkSession
         new = first_wins(df, key, order, order).filter("duplicate_of is null").drop("duplicate_of").dropDuplicates([key])
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(history)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if exists(spark, history):
             known = spark.read.parquet(history).filter(F.col("batch") != number).select(key)
             new = new.join(known, key, "left_anti")
         new.write.mode("overwrite").parquet(f"{history}/batch={number}")
