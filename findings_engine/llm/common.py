@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of labels that decide a fold: crc32 of the decimal doc_id, modulo this; fold 1 is held out.
 FOLDS, HELD_OUT_FOLD = 3, 1
+#: Bytes of a shuffle's partition; from so many partitions on, partitions grow up to the larger size.
+PARTITION_BYTES, MANY, MOST_PARTITION_BYTES = 16 << 20, 20_000, 256 << 20
 #: Longer words and parts of texts are worked out anew each time, so that what a worker remembers stays small.
 REMEMBERED_CHARS = 64
 
@@ -55,6 +57,17 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bytes_of(df: DataFrame) -> int:
+    """The size of the files of a written table, as the planner has it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """Partitions for a shuffle of so many bytes: PARTITION_BYTES each, more from MANY partitions on, the session's number at least."""
+    wanted = max(min(size // PARTITION_BYTES, MANY), size // MOST_PARTITION_BYTES)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted, 1)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """The name, with underscores behind it until no column has it (names differ by more than case)."""
     lower = {c.lower() for c in taken}
@@ -79,5 +92,5 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 def texts(batch, column: str) -> Iterator[str]:
     """The column's strings, null as empty."""
-    for value in batch.column(column):
-        yield value.as_py() or ""
+    for value in batch.column(column).to_pylist():
+        yield value or ""

@@ -7,8 +7,8 @@ without words have an empty fingerprint. Such a fingerprint says nothing below t
 answered only where the other one holds all hashes up to the smallest, and else is null. Where the hashes themselves are
 at hand, ``compared`` measures all of them if either text has fewer than SHORT shingles, and the sketches otherwise.
 
-The next document in ascending id comes from one shuffle of the texts into ranges of ids: each range also gets
-the head of the next one, as a guest. Rows of one id are ordered by text. A null id has no place in this
+The next document in ascending id (a whole number) comes from one shuffle of the texts into ranges of ids, whose partitions follow
+from the table's size: each range also gets the head of the next one, as a guest. Rows of one id are ordered by text. A null id has no place in this
 order: its next text is empty. Null texts are empty; two empty fingerprints have likeness 1, one has 0.
 An empty table gives no rows. Only the named columns are read.
 """
@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import partitions_for, table
 
 SHINGLE_WORDS = 5
 #: The fraction is 2**-FRACTION_BITS.
 FRACTION_BITS = 3
 #: Texts of fewer shingles have too few hashes below the fraction (128 on average at this number) for an estimate.
 SHORT = 1024
-#: Rows of a range of ids, if ids are spread evenly; ranges of a range of ranges.
-RANGE_ROWS, RANGES = 256, 4096
+#: Rows of a range of ids, if ids between two sampled quantiles are spread evenly; ranges of a range of ranges; quantiles.
+RANGE_ROWS, RANGES, COARSE = 256, 4096, 256
 
 
 def words(text: Column) -> Column:
@@ -90,12 +90,19 @@ def as_text(a: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """id, text, next_text: the text of the row that follows in (id, text), after the last row that of the first."""
     rows = df.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
+    quantiles = ", ".join(str(k / COARSE) for k in range(1, COARSE))
+    low, high, n, size, cuts = rows.agg(F.min(id_col), F.max(id_col), F.count(id_col), F.sum(F.octet_length("text")), F.expr(f"approx_percentile(`{id_col}`, array({quantiles}))")).first()
     unplaced = rows.filter(F.col(id_col).isNull()).withColumn("next_text", F.lit(""))
     if not n:
         return unplaced
-    width = max(1, (high - low + 1) * range_rows // n)
-    part = F.floor((F.col(id_col) - low) / width).cast("long") if high - low < 2**52 else F.floor((F.col(id_col).cast("decimal(38,0)") - low) / width).cast("long")
+    # ranges of ids between sampled quantiles, each cut evenly, so that an id far from all others thins out one of them only
+    bounds = sorted({c for c in cuts if low <= c < high})
+    starts, ends = [low, *(c + 1 for c in bounds)], [*bounds, high]
+    fine = max(1, n // (range_rows * len(starts)))
+    number = F.col(id_col).cast("long" if high - low < 2**52 else "decimal(38,0)")
+    coarse = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda c: F.col(id_col) > c))
+    at = lambda values: F.get(F.array(*map(F.lit, values)).cast("array<long>"), coarse).cast("long" if high - low < 2**52 else "decimal(38,0)")
+    part = coarse.cast("long") * fine + F.floor((number - at(starts)).cast("double") * fine / (at(ends) - at(starts) + 1).cast("double")).cast("long")
     placed = rows.filter(F.col(id_col).isNotNull()).withColumn("part", part)
     # heads: the first row of each range; each goes to the range before it that has rows
     heads = placed.groupBy("part").agg(F.min_by("text", F.struct(id_col, "text")).alias("text"), F.min(id_col).alias(id_col)).withColumn("group", F.floor(F.col("part") / RANGES))
@@ -107,6 +114,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE
     first = F.col("lag").isNull() & F.col("before").isNull()
     guests = guests.select(F.coalesce("lag", "before", "end").alias("part"), F.when(first, 1).otherwise(0).alias("wrap"), F.col(id_col), "text", F.lit(True).alias("guest"))
     all_rows = placed.select("part", F.lit(0).alias("wrap"), F.col(id_col), "text", F.lit(False).alias("guest")).unionByName(guests)
+    all_rows = all_rows.repartition(partitions_for(df.sparkSession, size), "part")
     # of rows of one id and text a guest comes last
     following = F.lead("text").over(W.partitionBy("part").orderBy("wrap", id_col, "text", "guest"))
     return all_rows.withColumn("next_text", following).filter(~F.col("guest")).select(id_col, "text", "next_text").unionByName(unplaced)
