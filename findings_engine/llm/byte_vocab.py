@@ -25,7 +25,6 @@ SIGNS = ".,;:!?%&*$#"
 LONG_RUN = 1000
 _LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_MIXED_SPACE = re.compile(r"^ | $| \s|\s ")
 
 
 class ByteVocab:
@@ -35,12 +34,14 @@ class ByteVocab:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.kind).char
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.lengths = np.zeros(self.size, np.int64)  # bytes of each token
         special = {t.content for t in self.library.get_added_tokens_decoder().values()}
         for token, i in self.library.get_vocab().items():
             self.lengths[i] = len(token.encode()) if token in special else len(token)  # one character stands for each byte
         self.encoder = self._fast(path)
+        self.plain = self.encoder._core_bpe.encode_ordinary
         self.signs: dict[str, bytes] = {}
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -61,48 +62,57 @@ class ByteVocab:
 
     def parts(self, text: str) -> list[str]:
         """The text's first part, and the others without the space that each begins with."""
-        return _LONE_SPACE.split(text) if _MIXED_SPACE.search(text) else text.split(" ")
+        parts = text.split(" ")
+        if list(map(str.strip, parts)) == parts and "" not in parts:
+            return parts
+        return _LONE_SPACE.split(text)  # some space stands at an end or beside other white space
 
     def _encode(self, text: str) -> bytes:
-        ids, at = array(self.kind().dtype.char), 0
-        if len(text) >= LONG_RUN:
-            for run in _LONG_RUN.finditer(text):
-                ids.extend(self.encoder.encode_ordinary(text[at : run.start()]))
-                at = run.end() - (run.end() < len(text))
-                ids.extend(self.encoder._encode_single_piece(text[run.start() : at]))
+        if len(text) < LONG_RUN:
+            return array(self.code, self.plain(text)).tobytes()
+        ids, at = array(self.code), 0
+        for run in _LONG_RUN.finditer(text):
+            ids.extend(self.encoder.encode_ordinary(text[at : run.start()]))
+            at = run.end() - (run.end() < len(text))
+            ids.extend(self.encoder._encode_single_piece(text[run.start() : at]))
         ids.extend(self.encoder.encode_ordinary(text[at:]))
         return ids.tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids as the library gives them without special tokens around it."""
-        out = []
+        return [np.frombuffer(raw, self.kind) for raw in self.encoded(texts)]
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The same as bytes, of ``kind`` each."""
+        out, special = [], self.special
         for text in texts:
-            if any(s in text for s in self.special):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind))
-                continue
-            first, *rest = self.parts(text)
-            found = list(map(self.now.get, rest))
-            if None in found:
-                found = self._complete(rest, found)
-            out.append(np.frombuffer(self._encode(first) + b"".join(found), self.kind))
+            for s in special:
+                if s in text:
+                    out.append(array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes())
+                    break
+            else:
+                first, *rest = self.parts(text)
+                found = list(map(self.now.get, rest))
+                if None in found:
+                    self._complete(rest, found)
+                out.append(self._encode(first) + b"".join(found))
         return out
 
-    def _complete(self, rest: list[str], found: list[bytes | None]) -> list[bytes]:
+    def _complete(self, rest: list[str], found: list[bytes | None]) -> None:
         """Encode the parts that the newer generation lacks, or take them over from the older."""
         if len(self.now) > MEMORY:
             self.before, self.now = self.now, {}
-        now, before = self.now, self.before
-        for k, ids in enumerate(found):
+        now, before, k = self.now, self.before, -1
+        for _ in range(found.count(None)):
+            k = found.index(None, k + 1)
+            part = rest[k]
+            if len(part) > REMEMBERED_CHARS:
+                found[k] = self._encode(f" {part}")
+                continue
+            ids = now.get(part)
             if ids is None:
-                part = rest[k]
-                if len(part) > REMEMBERED_CHARS:
-                    found[k] = self._encode(f" {part}")
-                    continue
-                ids = now.get(part)
-                if ids is None:
-                    ids = now[part] = before.get(part) or self._learn(part)
-                found[k] = ids
-        return found
+                ids = now[part] = before.get(part) or self._learn(part)
+            found[k] = ids
 
     def _learn(self, part: str) -> bytes:
         """Ids of a new part. Signs after its last letter are a piece of their own, so a known word stays known before a comma."""

@@ -2,7 +2,8 @@
 
 A document's vector counts its distinct tokens, hashed; a random projection of signs takes it to DIMENSIONS
 coordinates, which the normal distribution maps to even cells; the cell's place on the Hilbert curve is the
-document's key. Documents are range-sorted by (key, id), so equal keys (copies) split over partitions, and
+document's key. Documents are range-sorted by (key, id, a hash of the ids), so equal keys (copies) split over partitions, their number follows
+from the table's size, a retried task sees them in the same order, and
 each partition lays its documents end to end and cuts every ``size`` tokens. What is left at its end is cut
 into sequences whose lengths are powers of two, which need no padding.
 
@@ -21,9 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_vocab import load
-from .common import table, texts, written
+from .common import bytes_of, partitions_for, table, texts, written
 
 SIZE, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 8
@@ -34,14 +36,25 @@ def projection(vocab_size: int, dimensions: int = DIMENSIONS, seed: int = 17) ->
     return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (vocab_size, dimensions))
 
 
-def cells(ids: np.ndarray, signs: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The document's cell on the grid; without tokens the middle one."""
+def packed_signs(signs: np.ndarray) -> np.ndarray:
+    """A long for each token: 16 bits for each of four dimensions, 1 where its sign is positive. Sums over up to 65,535 tokens don't overflow."""
+    return sum((signs[:, d] > 0).astype(np.uint64) << np.uint64(16 * d) for d in range(4))
+
+
+def cells(ids: np.ndarray, signs: np.ndarray, packed: np.ndarray | None = None, bits: int = BITS) -> np.ndarray:
+    """The document's cell on the grid; without tokens the middle one. ``packed``: the signs as ``packed_signs``, where there are four dimensions."""
     held = np.zeros(len(signs), bool)
     held[ids] = True
     distinct = np.flatnonzero(held)
-    z = signs[distinct].sum(axis=0, dtype=np.int64) / math.sqrt(max(len(distinct), 1))
-    even = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
-    return np.minimum((even * (1 << bits)).astype(np.int64), (1 << bits) - 1)
+    n = len(distinct)
+    if packed is None or n > 65_535:
+        sums = signs[distinct].sum(axis=0, dtype=np.int64).tolist()
+    else:
+        total = int(packed[distinct].sum())
+        sums = [2 * (total >> 16 * d & 65_535) - n for d in range(4)]
+    root = math.sqrt(2 * max(n, 1))
+    side = 1 << bits
+    return np.array([min(int(0.5 * math.erfc(-x / root) * side), side - 1) for x in sums], np.int64)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,11 +91,11 @@ def tokenised(df: DataFrame, vocab: str, id_col: str, text_col: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(vocab)
         signs = projection(v.size)
+        packed, end = packed_signs(signs), np.array([end_id], v.kind).tobytes()
         for batch in batches:
-            ids = v.ids(list(texts(batch, text_col)))
-            keys = hilbert(np.array([cells(x, signs) for x in ids]).reshape(-1, DIMENSIONS))
-            end = np.array([end_id], v.kind)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(keys, pa.int64()), pa.array([np.append(x, end).tobytes() for x in ids], pa.binary())], names=[id_col, "key", "ids"])
+            encoded = v.encoded(list(texts(batch, text_col)))
+            keys = hilbert(np.array([cells(np.frombuffer(x, v.kind), signs, packed) for x in encoded]).reshape(-1, DIMENSIONS))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(keys, pa.int64()), pa.array([x + end for x in encoded], pa.binary())], names=[id_col, "key", "ids"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, key long, ids binary")
 
@@ -130,7 +143,9 @@ class Packer:
 def pack(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Pieces of sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, with ``with_ids`` also ids."""
     kind = load(vocab).kind
-    along = written(tokenised(df, vocab, id_col, text_col, end_id), "tokens").repartitionByRange("key", id_col).sortWithinPartitions("key", id_col)
+    tokens = written(tokenised(df, vocab, id_col, text_col, end_id), "tokens")
+    order = ("key", id_col, F.xxhash64("ids"))  # the ids themselves are far too wide to sort by
+    along = tokens.repartitionByRange(partitions_for(tokens.sparkSession, bytes_of(tokens)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
