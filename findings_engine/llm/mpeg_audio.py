@@ -2,9 +2,11 @@
 
 ``parse`` reads any MPEG 1, 2 or 2.5 audio stream of layers I to III: it skips an ID3v2 tag in front and an
 ID3v1 tag behind, finds frames by header and, after damage, resynchronises at the next header that a second
-one of its kind (or the stream's end) confirms. A first frame with a Xing, Info or VBRI table holds no audio.
-The checksum of a protected frame is verified over what its layer protects. The duration is exact, in samples
-over the rate.
+one of its kind (or the stream's end) confirms, or at one of another kind that two more confirm: streams that were joined
+are read on, and a false start is left behind. A first frame with a Xing, Info or VBRI table holds no audio.
+The checksum of a protected frame is verified over what its layer protects: the side information, or the allocation of bits with, in
+Layer II, the selection of scale factors. The duration is exact: samples at each rate. Frames of the free format, whose size no
+header tells, are skipped.
 
 ``store`` is the lossless way in: the payload's bytes are the ancillary data of silent Layer III frames, whose
 side information says that no byte is coded audio. Full frames have the highest bitrate and the last the
@@ -22,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
@@ -113,14 +116,40 @@ def checksum(head: bytes, body: bytes, bits: int) -> int:
     return _crc_bits(_crc_bits(0xFFFF, head, 16), body, bits)
 
 
-def protected_bits(h: Header, body: bytes) -> int | None:
-    """How many bits after the checksum it covers. None for Layer II, whose allocation tables this doesn't hold."""
+# Fixed values of the format: bits of allocation for the subbands of Layer II, as (subbands, bits) by table.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
+
+
+def allocation_table(h: Header) -> list[int]:
+    """Bits of allocation of each subband of a Layer II frame."""
+    each = h.bitrate // 1000 // (1 if h.mono else 2)
+    if h.version != 3:
+        name = "low"
+    elif each >= 56 and (h.rate == 48000 or each <= 80):
+        name = "a"
+    elif each >= 96:
+        name = "b"
+    else:
+        name = "d" if h.rate == 32000 else "c"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def protected_bits(h: Header, body: bytes) -> int:
+    """How many bits after the checksum it covers."""
     if h.layer == 3:
         return 8 * h.side
+    bound = 4 * (h.mode_extension + 1) if h.joint else 32
     if h.layer == 1:
-        bound = 4 * (h.mode_extension + 1) if h.joint else 32
         return 4 * (32 if h.mono else 2 * bound + 32 - bound)
-    return None
+    word, total = int.from_bytes(body, "big"), 8 * len(body)
+    at = chosen = 0
+    for band, bits in enumerate(allocation_table(h)):
+        alone = not h.mono and band < bound  # each channel has its own allocation
+        for _ in range(2 if alone else 1):
+            used = at + bits <= total and word >> (total - at - bits) & ((1 << bits) - 1)
+            at += bits
+            chosen += (1 if alone or h.mono else 2) * bool(used)
+    return at + 2 * chosen
 
 
 @dataclass
@@ -128,14 +157,19 @@ class Stream:
     tags: dict[str, str] = field(default_factory=dict)
     table: dict = field(default_factory=dict)
     frames: list[tuple[int, int, Header]] = field(default_factory=list)  # offset, size, header: audio only
-    rate: int = 0
+    rate: int = 0  # of the last frame
     samples: int = 0
+    durations: dict[int, int] = field(default_factory=dict)  # samples by rate
     checked: int = 0
     bad: int = 0
     skipped: int = 0  # bytes in no frame and no tag
     resyncs: int = 0
     truncated: bool = False
 
+    @property
+    def seconds(self) -> Fraction:
+        return sum((Fraction(n, rate) for rate, n in self.durations.items()), Fraction(0))
+
 
 def _syncsafe(raw: bytes) -> int:
     return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
@@ -176,16 +210,20 @@ def _vbr_table(frame: bytes, h: Header) -> dict:
     return {}
 
 
-def _confirmed(data: bytes, at: int, end: int, kind: tuple | None) -> Header | None:
-    """The frame header at ``at``, if the next frame's header or the stream's end follows it."""
+def _confirmed(data: bytes, at: int, end: int, kind: tuple | None, followers: int = 1) -> Header | None:
+    """The frame header at ``at``, if so many headers of its kind, or the stream's end, follow it."""
     h = header(data[at : at + 4])
     if h is None or kind and h.kind != kind:
         return None
-    after = at + h.size
-    if after == end:
-        return h
-    following = header(data[after : after + 4]) if after + 4 <= end else None
-    return h if following and following.kind == h.kind else None
+    following, place = h, at
+    for _ in range(followers):
+        place += following.size
+        if place == end:
+            break
+        following = header(data[place : place + 4]) if place + 4 <= end else None
+        if following is None or following.kind != h.kind:
+            return None
+    return h
 
 
 def parse(data: bytes) -> Stream:
@@ -197,10 +235,11 @@ def parse(data: bytes) -> Stream:
             s.tags[f"id3v1 {name}"] = data[end + low : end + high].split(b"\0")[0].decode("latin-1").rstrip()
     first = True
     while at < end:
-        h = header(data[at : at + 4]) if synced else _confirmed(data, at, end, kind)
-        if h is None or synced and h.kind != kind:
-            s.resyncs += synced
-            synced = False
+        h = header(data[at : at + 4]) if synced else _confirmed(data, at, end, kind) or kind and _confirmed(data, at, end, None, 2)
+        if synced and (h is None or h.kind != kind):
+            s.resyncs, synced = s.resyncs + 1, False
+            continue
+        if h is None:
             found = data.find(b"\xff", at + 1, end)
             s.skipped += (found if found >= 0 else end) - at
             at = found if found >= 0 else end
@@ -212,7 +251,7 @@ def parse(data: bytes) -> Stream:
         synced, kind = True, h.kind
         if h.protected:
             body = data[at + 6 : at + 6 + 64]
-            if (bits := protected_bits(h, body)) is not None and len(body) * 8 >= bits:
+            if len(body) * 8 >= (bits := protected_bits(h, body)):
                 s.checked += 1
                 s.bad += checksum(data[at + 2 : at + 4], body[: (bits + 7) // 8], bits) != int.from_bytes(data[at + 4 : at + 6], "big")
         found = _vbr_table(data[at : at + h.size], h) if first else {}
@@ -222,6 +261,7 @@ def parse(data: bytes) -> Stream:
         else:
             s.frames.append((at, h.size, h))
             s.samples += h.samples
+            s.durations[h.rate] = s.durations.get(h.rate, 0) + h.samples
             s.rate = h.rate
         at += h.size
     return s

@@ -318,6 +318,36 @@ def test_mpeg_damage():
     assert mpeg_audio.parse(tagged).tags["id3v1 title"] == "title"
 
 
+def frame(version, layer, bitrate, rate, protected, body=b""):
+    """A frame of the format; its checksum is over the first bits of the body that its layer protects."""
+    low = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000)}[version]
+    head = bytes([0xFF, 0xE0 | version << 3 | (4 - layer) << 1 | (not protected), mpeg_audio.BITRATES[version == 3, layer].index(bitrate) << 4 | low.index(rate) << 2, 0])
+    h = mpeg_audio.header(head)
+    body = body.ljust(h.size - 4 - 2 * protected, b"\0")
+    bits = mpeg_audio.protected_bits(h, body[:64])
+    return head + (mpeg_audio.checksum(head[2:], body[: (bits + 7) // 8], bits).to_bytes(2, "big") if protected else b"") + body
+
+
+def test_mpeg_layer_two_checksums():
+    assert mpeg_audio.protected_bits(mpeg_audio.header(frame(3, 2, 192, 44100, False)[:4]), bytes(64)) == 2 * (11 * 4 + 12 * 3 + 7 * 2)
+    assert mpeg_audio.protected_bits(mpeg_audio.header(frame(3, 2, 128, 48000, False)[:4]), bytes([0x10]) + bytes(63)) == 2 * (11 * 4 + 12 * 3 + 4 * 2) + 2
+    assert mpeg_audio.protected_bits(mpeg_audio.header(frame(3, 2, 64, 32000, False)[:4]), b"\xff" * 64) == 2 * (2 * 4 + 10 * 3) + 4 * 12
+    one = frame(3, 2, 192, 44100, True, bytes(range(7, 60)))
+    s = mpeg_audio.parse(one * 4)
+    assert (s.checked, s.bad, s.samples) == (4, 0, 4 * 1152)
+    assert mpeg_audio.parse(one + one[:8] + bytes([one[8] ^ 16]) + one[9:] + one).bad == 1
+
+
+def test_mpeg_joined_streams():
+    """A stream of another layer, rate and version behind the first is read on, and durations add up by rate."""
+    a, b, c = frame(3, 3, 128, 44100, False), frame(3, 2, 192, 48000, True), frame(2, 3, 64, 22050, False)
+    s = mpeg_audio.parse(a * 5 + b * 4 + c * 6 + a * 3)
+    assert s.durations == {44100: 8 * 1152, 48000: 4 * 1152, 22050: 6 * 576} and s.skipped == 0 and s.resyncs == 3 and not s.truncated
+    assert s.seconds == s.durations[44100] / mpeg_audio.Fraction(44100) + mpeg_audio.Fraction(4 * 1152, 48000) + mpeg_audio.Fraction(6 * 576, 22050)
+    false_start = c + c[:4] + b"noise" + a * 6
+    assert mpeg_audio.parse(false_start).durations[44100] == 5 * 1152  # the false frame covers the beginning of the first
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -376,3 +406,42 @@ def test_logistic():
     x = np.array([[0.0], [1.0], [2.0], [3.0]])
     p = logistic.fit(x, np.array([0, 0, 1, 1])).probability(x)
     assert p[0] < 0.5 < p[3] and logistic.fit(x[:0], np.zeros(0)).probability(x).max() == 0.5
+
+
+def test_next_texts_of_uneven_ids(spark):
+    rng = np.random.default_rng(9)
+    ids = sorted({-(2**63), 2**63 - 1, 0, 7, *(int(x) for x in rng.integers(1000, 3000, 300)), *(int(x) for x in rng.integers(0, 2**62, 50))})
+    df = spark.createDataFrame([(i, f"text {i}", 1) for i in ids], "doc_id long, text string, part int").repartition(4)
+    for known in (df, df.filter("doc_id between 0 and 5000"), df.filter("doc_id = 7")):
+        order = sorted(r.doc_id for r in known.collect())
+        for rows in (1, 3, 256):
+            got = {r[0]: r.next_text for r in sketches.with_next(known, "doc_id", "text", range_rows=rows).collect()}
+            assert got == {i: f"text {order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+
+
+def test_sketch_query_by_hand(spark, tmp_path):
+    """The query's own columns: edited text, fingerprints by a second implementation of the hashing, and likeness to both."""
+    texts = ["one two three four five six seven", "", None, "a b c", " ".join(f"w{i % 50}" for i in range(300)), " ".join(f"w{i % 50}" for i in range(290)) + " é𝒳", "x" * 50_000]
+    spark.createDataFrame([(i * 2, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in sketches.op5_sketches(spark, str(tmp_path)).collect()}
+    known = [t or "" for t in texts]
+    hashed = lambda ws: spark.range(1).select(F.xxhash64(*map(F.lit, ws))).first()[0] & (2**64 - 1)
+    cache = {}
+
+    def hashes(t):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", t.lower()) if x]
+        if len(w) < 5:
+            return {spark.range(1).select(F.xxhash64(F.array(*map(F.lit, w)))).first()[0] & (2**64 - 1)} if w else set()
+        return {cache.setdefault(g, None) or cache.__setitem__(g, hashed(g)) or cache[g] for g in {tuple(w[i : i + 5]) for i in range(len(w) - 4)}}
+
+    def fingerprint(h):
+        low = sorted(x for x in h if x < 2**61)
+        return ",".join(f"{x:x}" for x in low or sorted(h)[:1])
+
+    for i, t in enumerate(known):
+        nxt, half = known[(i + 1) % len(known)], len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        r, a, b, c = rows[i * 2], hashes(t), hashes(edited), hashes(nxt)
+        jaccard = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), sha(edited), fingerprint(a), fingerprint(b))
+        assert r.near_edited == jaccard(a, b) and r.near_next == jaccard(a, c)
