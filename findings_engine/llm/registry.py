@@ -1,4 +1,8 @@
-"""The queries of this subpackage. None has an oracle in SQL: each is tested against a brute-force version."""
+"""The queries of this subpackage.
+
+None of the ten has an oracle in SQL: each is tested against a brute-force version. What SQL can say of four of them, it says of
+a query that selects those columns from the operator's own query.
+"""
 
 from __future__ import annotations
 
@@ -17,10 +21,43 @@ from .token_counts import op3_token_counts
 from .toxicity import op10_toxicity
 from .url_rules import op4_url_rules
 
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_AFTER = "CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_PATH = "regexp_extract(regexp_replace(a, '^[^/?#]*', ''), '^[^?#]*')"
+_UNDER = lambda name: f"(host = '{name}' OR ends_with(host, '.{name}'))"
+
+
+def url_rules_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_url_rules(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def sketches_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_sketches(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mpeg_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mpeg_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+ORACLES = {
+    "url_rules_parts": f"""WITH p AS (SELECT page_id, {_AFTER} AS a FROM pages), h AS (SELECT page_id, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_PATH} AS path FROM p)
+SELECT page_id, host, path, CASE WHEN {_UNDER('example.org')} AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN {_UNDER('example.org')} AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN {_UNDER('com')} AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN {_UNDER('com')} AND starts_with(path, '/de/') THEN 'com/de/' WHEN {_UNDER('org')} AND starts_with(path, '/') THEN 'org/' END AS rule FROM h""",
+    "sketches_edits": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM t)
+SELECT doc_id, length(text) AS n_chars, sha256(substr(text, 1, length(text) - length(text) // 2) || substr(following, 1, length(text) // 2)) AS edited_sha256 FROM n""",
+    "secrets_base": f"SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), lambda x: length(x) >= 8)) AS n_assign, len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex FROM documents",
+    "mpeg_payloads": """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n, greatest((octet_length(b) + 63) // 64 * 64, 64) AS m FROM b)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || repeat('\\x00'::BLOB, m - n)) AS payload_sha256 FROM n""",
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_url_rules, op5_sketches, op6_secrets, op7_quality, op8_simhash, op9_mpeg_audio, op10_toxicity)}
+    own = (op1_sentencepiece, op2_packing, op3_token_counts, op4_url_rules, op5_sketches, op6_secrets, op7_quality, op8_simhash, op9_mpeg_audio, op10_toxicity)
+    return {f.__name__: f for f in (*own, url_rules_parts, sketches_edits, secrets_base, mpeg_payloads)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
