@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 FOLDS, HELD_OUT_FOLD = 3, 1
 #: Bytes of a shuffle's partition; from so many partitions on, partitions grow up to the larger size.
 PARTITION_BYTES, MANY, MOST_PARTITION_BYTES = 16 << 20, 20_000, 256 << 20
+#: Rows that a worker turns into Python values at a time.
+PIECE_ROWS = 512
 #: Longer words and parts of texts are worked out anew each time, so that what a worker remembers stays small.
 REMEMBERED_CHARS = 64
 
@@ -90,6 +92,13 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key, F.lit(20)), key).limit(rows)
 
 
+def pieces(batches, rows: int = PIECE_ROWS):
+    """The batches in pieces, so that a worker holds the Python values of a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(batch, column: str) -> Iterator[str]:
     """The column's strings, null as empty."""
     for value in batch.column(column).to_pylist():

@@ -14,7 +14,7 @@ lowest that holds the rest, so the stream is of variable bitrate; a Xing table g
 points, and an ID3v2 tag the payload's length.
 
 Null texts are empty; an empty text's payload is 64 zero bytes. Equal texts give equal streams. Repeated rows
-give repeated rows, an empty table none. Only the named columns are read.
+give repeated rows, an empty table none. A text of any length is a longer stream of frames of one size. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import pieces, table
 
 BLOCK = 64  # payloads are padded to a positive multiple of this
 # Fixed values of the MPEG audio format: kbit/s by (version 1?, layer), Hz by version, samples a frame.
@@ -333,7 +333,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The contract's columns; with ``full`` also media (binary), duration_samples, rate and seek_offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for value in batch.column(text_col).cast(pa.binary()):
                 raw = value.as_py() or b""

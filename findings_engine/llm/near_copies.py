@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, pieces, written
 from .components import roots
 from .simhash import BUDGET, SEED, links
 
@@ -40,7 +40,7 @@ SHINGLE_WORDS = 5
 #: Least exact Jaccard similarity of an edge, as a fraction of whole numbers.
 LEAST_SIMILARITY = (4, 5)
 #: Bytes of text in a part of a group that are compared in one task with those of another part.
-PART_BYTES = 1_000_000
+PART_BYTES = 500_000
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -76,9 +76,11 @@ def word_key(text: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
 
 
-def shingles(text: bytes) -> set[bytes]:
+def shingles(text: bytes, number: dict[bytes, int] | None = None) -> set:
+    """The text's distinct shingles, or with ``number`` their numbers there, which texts share."""
     words = text.lower().split()
-    return {b" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))} if words else set()
+    found = (b" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))) if words else ()
+    return set(found) if number is None else {number.setdefault(s, len(number)) for s in found}
 
 
 def similar(a: set, b: set) -> bool:
@@ -118,7 +120,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """node, key of the words, n_bytes, and the fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t.as_py() or b"" for t in batch.column(text_col).cast(pa.binary())]
             prints = [word_fingerprints(t) for t in texts]
             columns = [pa.array([word_key(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())]
@@ -139,12 +141,12 @@ def verified(docs: DataFrame, classes: DataFrame, linked: DataFrame, id_col: str
 
     def run(group: pa.Table) -> pa.Table:
         # an id's rows of other words belong to other classes
-        nodes, sets = [], []
+        nodes, sets, number = [], [], {}
         for node, key, text in zip(group.column("node"), group.column("key"), group.column("text").cast(pa.binary()), strict=True):
             text = text.as_py() or b""
             if word_key(text) == key.as_py():
                 nodes.append(node)
-                sets.append(shingles(text))
+                sets.append(shingles(text, number))
         pairs = similar_pairs(sets)
         kind = group.schema.field("node").type
         return pa.table({"a": pa.array([nodes[i].as_py() for i, _ in pairs], kind), "b": pa.array([nodes[j].as_py() for _, j in pairs], kind)})

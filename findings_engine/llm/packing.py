@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_vocab import load
-from .common import bytes_of, partitions_for, table, texts, written
+from .common import bytes_of, partitions_for, pieces, table, texts, written
 
 SIZE, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 8
@@ -92,7 +92,7 @@ def tokenised(df: DataFrame, vocab: str, id_col: str, text_col: str, end_id: int
         v = load(vocab)
         signs = projection(v.size)
         packed, end = packed_signs(signs), np.array([end_id], v.kind).tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             encoded = v.encoded(list(texts(batch, text_col)))
             keys = hilbert(np.array([cells(np.frombuffer(x, v.kind), signs, packed) for x in encoded]).reshape(-1, DIMENSIONS))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(keys, pa.int64()), pa.array([x + end for x in encoded], pa.binary())], names=[id_col, "key", "ids"])

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts
+from .common import pieces, table, texts
 from .merge_vocab import load
 
 
@@ -28,7 +28,7 @@ def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load(model)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = vocab.encode_decode(list(texts(batch, text_col)))
             columns = [
                 batch.column(id_col),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import pieces, table, written
 from .components import roots
 
 SHINGLE_WORDS, SEED, BUDGET = 3, 42, 3
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id and fp, the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             prints = [fingerprint(t.as_py() or b"", shingle_words) for t in batch.column(text_col).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.array(prints, np.uint64).view(np.int64))], names=[id_col, "fp"])
 

@@ -10,7 +10,7 @@ at hand, ``compared`` measures all of them if either text has fewer than SHORT s
 The next document in ascending id (a whole number) comes from one shuffle of the texts into ranges of ids, whose partitions follow
 from the table's size: each range also gets the head of the next one, as a guest. Rows of one id are ordered by text. A null id has no place in this
 order: its next text is empty. Null texts are empty; two empty fingerprints have likeness 1, one has 0.
-An empty table gives no rows. Only the named columns are read.
+An empty table gives no rows. Texts of any length are cut into words once and hashed in one pass. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_vocab import load
-from .common import table, texts
+from .common import pieces, table, texts
 
 RULES = ("first", "last", "majority")
 #: Rows of an output batch, about.
@@ -88,7 +88,7 @@ def count_tokens(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
             arrays = [docs, np.concatenate([np.arange(len(r[1]) - 1) for r in rows]), np.concatenate([r[1][:-1] for r in rows]), np.concatenate([r[1][1:] for r in rows]), join(2), join(3), join(4), np.concatenate([np.full(len(r[1]) - 1, r[5]) for r in rows])]
             return pa.RecordBatch.from_arrays([docs, *(pa.array(a, pa.float64() if n == "share" else pa.int64()) for a, n in zip(arrays[1:], names[1:], strict=True))], names=names)
 
-        for batch in batches:
+        for batch in pieces(batches):
             all_texts = list(texts(batch, text_col))
             given = batch.column(bounds_col).to_pylist() if bounds_col else [None] * len(all_texts)
             rows, held = [], 0
