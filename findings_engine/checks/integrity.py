@@ -151,7 +151,8 @@ def sources(x: Inputs) -> DataFrame:
 
 
 def numbers(x: Inputs) -> DataFrame:
-    return _found(tracker.occurrences(good(x)), 12, F.concat(F.lit("number "), F.coalesce("num", F.lit("")), F.lit(" is used again")), F.col("pos"))
+    again = identity.first_wins(good(x), "num", "pos", "pos", "earlier").filter("earlier is not null")  # no window: a number may be very common
+    return _found(again, 12, F.concat(F.lit("number "), F.coalesce("num", F.lit("")), F.lit(" is used again")), F.col("pos"))
 
 
 def log_rows(log: DataFrame) -> DataFrame:
@@ -233,16 +234,25 @@ def findings(x: Inputs, only: tuple[int, ...] = tuple(CHECKS)) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, spark.createDataFrame(said, SCHEMA))
 
 
-def rollup(found: DataFrame, only: tuple[int, ...] = tuple(CHECKS)) -> DataFrame:
-    """check_id, name, level (the worst of its messages), n, and the messages in order, errors before warnings; every check has its row."""
+def levels_of(found: DataFrame, only: tuple[int, ...] = tuple(CHECKS)) -> DataFrame:
+    """check_id, name, level (the worst of its messages), n; every check has its row."""
     spark: SparkSession = found.sparkSession
     names = spark.createDataFrame([(k, NAMES[k]) for k in only], "check_id int, name string")
-    rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warn", 1).otherwise(2)
-    each = F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "ord", "message")))
-    got = found.groupBy("check_id").agg(F.min(rank).alias("worst"), F.count("*").alias("n"), F.transform(each, lambda m: m["message"]).alias("messages"))
+    got = found.groupBy("check_id").agg(F.min(_rank()).alias("worst"), F.count("*").alias("n"))
     level = F.get(F.array(F.lit("error"), F.lit("warn"), F.lit("ok")), F.coalesce("worst", F.lit(2)))
-    rows = names.join(got, "check_id", "left")
-    return rows.select("check_id", "name", level.alias("level"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
+    return names.join(got, "check_id", "left").select("check_id", "name", level.alias("level"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _rank() -> Column:
+    return F.when(F.col("level") == "error", 0).when(F.col("level") == "warn", 1).otherwise(2)
+
+
+def rollup(found: DataFrame, only: tuple[int, ...] = tuple(CHECKS)) -> DataFrame:
+    """The levels with the messages in order, errors before warnings, for a report that people read: a check's messages come together in a row."""
+    each = F.sort_array(F.collect_list(F.struct(_rank().alias("rank"), "ord", "message")))
+    said = found.groupBy(F.col("check_id").alias("_of")).agg(F.transform(each, lambda m: m["message"]).alias("messages"))
+    rows = levels_of(found, only).join(said, F.col("check_id") == F.col("_of"), "left").drop("_of")
+    return rows.withColumn("messages", F.coalesce("messages", F.array().cast("array<string>")))
 
 
 def summary(levels: DataFrame) -> DataFrame:

@@ -487,7 +487,7 @@ _COUNTS = {
 @query(f"WITH {_TRACKER}, {_LOG} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS check_id, CASE WHEN count(*) > 0 THEN '{level}' ELSE 'ok' END AS level, count(*) AS n FROM ({sql})" for k, (level, sql) in _COUNTS.items()))
 def integrity_checks(spark, sf_dir):
     """All eighteen checks over the tracker, its log and its reports."""
-    found = integrity.rollup(integrity.findings(_inputs(spark, sf_dir)))
+    found = integrity.levels_of(integrity.findings(_inputs(spark, sf_dir)))
     return found.select(F.col("check_id").cast("long").alias("check_id"), "level", F.col("n").cast("long").alias("n"))
 
 

@@ -68,9 +68,12 @@ def present(*values: object) -> str:
     return next((t for v in values if (t := str(v if v is not None else "").strip())), "")
 
 
-def seed(board: str, entry: dict) -> str | None:
-    """The URL that an entry's board is asked at; None if the entry doesn't say enough."""
-    kind, *rest = SEEDS[board]
+def seed(board: str, entry: dict, seeds: dict | None = None) -> str | None:
+    """The URL that an entry's board is asked at; None if the entry doesn't say enough. A seed may be a function of the entry."""
+    how = (SEEDS if seeds is None else seeds)[board]
+    if callable(how):
+        return how(entry)
+    kind, *rest = how
     if kind == "fixed":
         return rest[0]
     if kind == "entry":
@@ -115,14 +118,14 @@ def under(host: str, suffix: str) -> bool:
     return host == suffix or host.endswith(f".{suffix}")
 
 
-def board_of(entry: dict) -> str | None:
+def board_of(entry: dict, among: tuple[boards.Board, ...] = boards.BOARDS, seeds: dict | None = None) -> str | None:
     """The board that an entry names, or else the first whose host its URL has; None if none."""
     named = str(entry.get("integration") or "").lower()
-    if named in SEEDS:
+    if named in (SEEDS if seeds is None else seeds):
         return named
     host = host_of(str(entry.get("url") or ""))
     fits = {"exact": lambda k: host == k, "ending": lambda k: host.endswith(k), "suffix": lambda k: under(host, k)}
-    return next((b.name for b in sorted(boards.BOARDS, key=lambda b: b.name) if host and any(fits[b.match](k) for k in b.hosts)), None)
+    return next((b.name for b in sorted(among, key=lambda b: b.name) if host and any(fits[b.match](k) for k in b.hosts)), None)
 
 
 def check_allowed(board: str, entry: dict) -> None:
@@ -232,14 +235,14 @@ class Transport:
         return "ok" if 200 <= status < 300 else f"http_{status}"
 
 
-def asked(entry: dict, transport: Transport) -> tuple[str | None, str | None, str, str | None]:
+def asked(entry: dict, transport: Transport, among: tuple[boards.Board, ...] = boards.BOARDS, seeds: dict | None = None) -> tuple[str | None, str | None, str, str | None]:
     """(board, document, status, error) of an entry; status is fetched, no_provider or error."""
-    board = board_of(entry)
+    board = board_of(entry, among, seeds)
     if board is None:
         return None, None, "no_provider", None
     try:
         check_allowed(board, entry)
-        url = seed(board, entry)
+        url = seed(board, entry, seeds)
         if url is None:
             return board, None, "fetched", None
         try:
@@ -252,6 +255,19 @@ def asked(entry: dict, transport: Transport) -> tuple[str | None, str | None, st
         return board, None, "error", str(error)
 
 
+@dataclass
+class _Seed:
+    """A seed that is a function of a module: sent to executors by the module's place, and loaded there."""
+
+    folder: str
+    board: str
+
+    def __call__(self, entry: dict) -> str | None:
+        from . import plugins
+
+        return plugins.discover(self.folder).seeds[self.board](entry)
+
+
 @dataclass
 class Entry(InputPartition):
     place: int
@@ -259,8 +275,8 @@ class Entry(InputPartition):
 
 
 class Reader(DataSourceReader):
-    def __init__(self, entries: list[dict], transport: Transport):
-        self.entries, self.transport = entries, transport
+    def __init__(self, entries: list[dict], transport: Transport, among: tuple[boards.Board, ...] = boards.BOARDS, seeds: dict | None = None):
+        self.entries, self.transport, self.among, self.seeds = entries, transport, among, seeds
 
     def partitions(self) -> list[Entry]:
         return [Entry(n, e) for n, e in enumerate(self.entries) if e.get("enabled") is not False]
@@ -270,14 +286,14 @@ class Reader(DataSourceReader):
             return
         e = partition.entry
         name = next((str(e[k]) for k in ("name", "integration", "url") if e.get(k) is not None), "anonymous")
-        board, payload, status, error = asked(e, self.transport)
+        board, payload, status, error = asked(e, self.transport, self.among, self.seeds)
         filters = e.get("filters") if isinstance(e.get("filters"), dict) else {}
         terms = [[str(t).lower() for t in filters[k]] if isinstance(filters.get(k), list) else [] for k in ("title_blacklist", "location_blacklist")]
         yield (partition.place, name, board, e.get("company"), e.get("name"), str(e.get("source") or board or ""), *terms, payload, status, error)
 
 
 class JobBoards(DataSource):
-    """Option ``entries``: the entries as JSON text. A subclass may give another transport."""
+    """Option ``entries``: the entries as JSON text; ``plugins``: a folder of further boards that every executor sees. A subclass may give another transport."""
 
     @classmethod
     def name(cls) -> str:
@@ -290,17 +306,21 @@ class JobBoards(DataSource):
         return Transport()
 
     def reader(self, schema) -> Reader:
-        return Reader(json.loads(self.options.get("entries", "[]")), self.transport())
+        from . import plugins
+
+        found = plugins.discover(self.options.get("plugins"))
+        return Reader(json.loads(self.options.get("entries", "[]")), self.transport(), found.boards, {n: s for n, s in found.seeds.items() if not callable(s)} | {n: _Seed(self.options["plugins"], n) for n, s in found.seeds.items() if callable(s)})
 
 
-def fetched(spark: SparkSession, entries: list[dict], source: type[JobBoards] = JobBoards) -> DataFrame:
+def fetched(spark: SparkSession, entries: list[dict], source: type[JobBoards] = JobBoards, plugins: str | None = None) -> DataFrame:
     """A row of SCHEMA for each enabled entry. Entries beyond the reader's one are fetched in tasks of their own."""
     spark.dataSource.register(source)
-    return spark.read.format(source.name()).option("entries", json.dumps(entries)).load()
+    reader = spark.read.format(source.name()).option("entries", json.dumps(entries))
+    return (reader.option("plugins", plugins) if plugins else reader).load()
 
 
-def postings(documents: DataFrame, among: set[str | None] | None = None) -> DataFrame:
+def postings(documents: DataFrame, among: set[str | None] | None = None, known: tuple[boards.Board, ...] = boards.BOARDS) -> DataFrame:
     """The documents' postings with their entry's place, name, source and terms; only the rules of the boards ``among`` are compiled."""
     held = ("entry_pos", "entry", "source", "title_terms", "location_terms")
-    known = tuple(b for b in boards.BOARDS if among is None or b.name in among) or boards.BOARDS[:1]
-    return boards.postings(documents.filter("payload is not null"), keep=held, boards=known)
+    chosen = tuple(b for b in known if among is None or b.name in among) or known[:1]
+    return boards.postings(documents.filter("payload is not null"), keep=held, boards=chosen)

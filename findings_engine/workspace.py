@@ -16,7 +16,7 @@ from .checks import integrity
 from .functions import risk
 from .operators import identity, merge, reports, scan, states, tracker
 from .sinks import files as sinks
-from .sources import documents, jobboard, listings
+from .sources import documents, jobboard, listings, plugins
 from .sources.documents import Workspace
 
 
@@ -40,15 +40,16 @@ def _used(spark: SparkSession, w: Workspace, pending: bool) -> DataFrame:
     return listings.used_numbers(_rows(spark, w), listings.files(spark, w.reports), listings.files(spark, w.additions) if pending else None)
 
 
-def run_scan(spark: SparkSession, w: Workspace, dry: bool = False, limit: int = 0, source: type[jobboard.JobBoards] = jobboard.JobBoards, at: datetime | None = None) -> dict:
-    """Fetch the entries' boards, tell new postings from known ones, number them and append to additions, history and runs."""
+def run_scan(spark: SparkSession, w: Workspace, dry: bool = False, limit: int = 0, source: type[jobboard.JobBoards] = jobboard.JobBoards, at: datetime | None = None, folder: str | None = None) -> dict:
+    """Fetch the entries' boards (also those of a ``folder`` of modules), tell new postings from known ones, number them and append to additions, history and runs."""
     at = at or now()
     entries = documents.portal_entries(documents.load_yaml(w.portals))
+    known = plugins.discover(folder)
     kept = w.path("data", f".scan-{run_id(at)}")  # what boards answered is written down at once, so that none is asked twice
     try:
-        jobboard.fetched(spark, entries, source).write.mode("overwrite").parquet(f"{kept}/documents")
+        jobboard.fetched(spark, entries, source, folder).write.mode("overwrite").parquet(f"{kept}/documents")
         fetched = spark.read.parquet(f"{kept}/documents")
-        jobboard.postings(fetched, {jobboard.board_of(e) for e in entries}).write.mode("overwrite").parquet(f"{kept}/postings")
+        jobboard.postings(fetched, {known.board_of(e) for e in entries}, known.boards).write.mode("overwrite").parquet(f"{kept}/postings")
         before = listings.history(spark, w.history)
         scan.capped(scan.scanned(spark.read.parquet(f"{kept}/postings"), before), ["entry_pos", "pos"], limit).write.mode("overwrite").parquet(f"{kept}/rows")
         rows, failed = spark.read.parquet(f"{kept}/rows"), fetched.filter("status <> 'fetched'")

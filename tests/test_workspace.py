@@ -7,10 +7,11 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from findings_engine import __main__ as cli
 from findings_engine import workspace as commands
 from findings_engine.operators import identity, reports, states, tracker
 from findings_engine.sinks import files as sinks
-from findings_engine.sources import documents, jobboard, listings
+from findings_engine.sources import documents, jobboard, listings, plugins
 from findings_engine.sources.documents import Workspace
 from findings_engine.sources.markdown import COLUMNS
 
@@ -291,6 +292,37 @@ def test_scan_of_failing_entries_and_limits(spark, place):
     assert (limited["added"], limited["postings"], limited["invalid_posting"]) == (2, 2, 0)
 
 
+PLUGIN = """
+from findings_engine.sources.boards import FIELDS, Board
+
+BOARD = Board({name!r}, ("stub.example",), "exact", ("jobs",), True, dict.fromkeys(FIELDS, "ctx") | {{"title": "title", "url": "link"}})
+SEED = {seed}
+"""
+
+
+def test_boards_of_a_folder(spark, place):
+    folder = place.root / "boards"
+    write(folder / "stub.py", PLUGIN.format(name="stub", seed='lambda entry: "https://stub.example/more"'))
+    write(folder / "other.py", PLUGIN.format(name="other", seed='("fixed", "https://other.example/")'))
+    write(folder / "bad.py", "BOARD = 3")
+    write(folder / "_helper.py", "raise SystemExit")
+    found = plugins.discover(str(folder))
+    assert list(found.errors) == ["bad.py"] and len(found.boards) == 25 and found.board_of({"url": "https://stub.example/x"}) in ("other", "stub")
+    assert found.seed("other", {}) == "https://other.example/" and found.seed("lever", {"company": "a"}).endswith("/a?mode=json") and plugins.discover(None).names() == tuple(sorted(jobboard.SEEDS))
+    portals(place, {"name": "A", "integration": "stub"}, {"name": "B", "integration": "lever", "company": "a"})
+    counted = commands.run_scan(spark, place.w, dry=True, source=StubBoards, folder=str(folder))["counts"]
+    assert (counted["postings"], counted["invalid_posting"], counted["added"]) == (7, 4, 3)
+
+
+def test_operators_do_not_depend_on_partitions(spark, place):
+    place.rows(*({"num": str(n), "url": f"https://a.b/{n % 7}?utm_source={n}", "title": f"T {n % 3}"} for n in range(1, 40)))
+    rows = listings.findings(spark, place.w.tracker)
+    outcome = lambda df: (sorted((r.pos, r.duplicate_of) for r in tracker.duplicates(df).collect()), sorted((r.num, r.n) for r in identity.numbered(df.select("num", "pos"), ["pos"], 5, name="n").collect()))
+    assert outcome(rows.repartition(1)) == outcome(rows.repartition(9))
+    kept, _ = tracker.deduplicated(rows)
+    assert tracker.deduplicated(kept)[1].count() == 0 and kept.count() == 7
+
+
 def test_seeds():
     entry = {"company": "A b/c", "limit": 5, "search": "data eng"}
     got = {b: jobboard.seed(b, entry) for b in ("ashby", "greenhouse", "lever", "recruitcrm", "remotive", "jobicy", "nomado24", "weworkremotely", "workday")}
@@ -341,3 +373,25 @@ def test_catalogue(spark):
     assert CATALOG.table(spark).filter("requires_report").select("name").distinct().count() == 4
     df = spark.createDataFrame([(" DEAD ",), ("x",), (None,)], "c string")
     assert [r[0] for r in df.select(CATALOG.state(F.col("c"))).collect()] == ["Archived", None, None]
+
+
+def test_command_line(spark, place):
+    def call(*argv):
+        a = cli.parser().parse_args(["--root", str(place.root), *argv])
+        report, code = cli.run(spark, a)
+        return report, code, cli.shown(report, a)
+
+    assert call("status", "1", "Cleared")[1] == cli.NO_TRACKER and call("tracker")[0]["initialized"] is False
+    assert call("tracker", "--init")[0]["created"] and not call("tracker", "--init")[0]["created"]
+    place.rows({}, {"num": "2", "status": "nope", "url": "https://a.b/2"})
+    assert call("tracker", "--find", "engineer", "--limit", "1")[2].startswith("1  2026-10-08")
+    assert [call("status", s, t)[1] for s, t in (("9", "Cleared"), ("1", "done"), ("1", "legit"))] == [cli.SELECTOR, cli.USAGE, cli.OK]
+    report, code, text = call("check")
+    assert code == cli.FOUND and "  1. canonical statuses" in text and 'row 2: unknown status "nope"' in text
+    assert call("--summary", "check")[2] == "checks=18 ok=16 warn=0 error=2" and json.loads(call("--json", "check")[2])["errors"] == 2
+    assert call("reserve", "--count", "2")[0]["label"] == "003-004" and call("reserve", "--release", "3-4")[1] == cli.OK
+    assert call("reserve", "--release", "3-4")[1] == call("reserve", "--count", "1", "--release", "1")[1] == call("evaluate", "1", "--final-decision", "x")[1] == cli.USAGE
+    with sinks.lock(place.w.lock):
+        assert call("dedup")[1] == cli.LOCKED
+    assert call("dedup")[1] == call("links", "--dry-run")[1] == call("merge")[1] == call("doctor")[1] == call("reports")[1] == call("archive")[1] == cli.OK
+    assert call("portals")[1] == cli.FOUND and call("normalize")[1] == cli.FOUND and call("scan")[1] == cli.FOUND
