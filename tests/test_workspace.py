@@ -388,7 +388,7 @@ def test_command_line(spark, place):
     assert [call("status", s, t)[1] for s, t in (("9", "Cleared"), ("1", "done"), ("1", "legit"))] == [cli.SELECTOR, cli.USAGE, cli.OK]
     report, code, text = call("check")
     assert code == cli.FOUND and "  1. canonical statuses" in text and 'row 2: unknown status "nope"' in text
-    assert call("--summary", "check")[2] == "checks=18 ok=16 warn=0 error=2" and json.loads(call("--json", "check")[2])["errors"] == 2
+    assert call("--summary", "check")[2] == "checks=18 ok=15 warn=0 error=3" and json.loads(call("--json", "check")[2])["errors"] == 3
     assert call("reserve", "--count", "2")[0]["label"] == "003-004" and call("reserve", "--release", "3-4")[1] == cli.OK
     assert call("reserve", "--release", "3-4")[1] == call("reserve", "--count", "1", "--release", "1")[1] == call("evaluate", "1", "--final-decision", "x")[1] == cli.USAGE
     with sinks.lock(place.w.lock):
