@@ -11,7 +11,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_equals_oracle(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries()[name](spark, SF)
     columns = sorted(df.columns)
