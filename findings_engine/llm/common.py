@@ -43,11 +43,16 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     This cuts the lineage: a lost executor costs a reread, and an expensive stage runs once however
     many jobs read it. The files go when the driver's process ends.
     """
+    return written_at(df, name, compression)[0]
+
+
+def written_at(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """``written``, and the folder, for one who removes it earlier."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:

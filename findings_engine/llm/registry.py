@@ -1,7 +1,7 @@
 """The queries of this subpackage.
 
 None of the first ten has an oracle in SQL: each is tested against a brute-force version. What SQL can say of four of them, it says of
-a query that selects those columns from the operator's own query. Operator 13's query is said in SQL whole.
+a query that selects those columns from the operator's own query. The queries of operators 11 and 13 are said in SQL whole.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids_sql
+from . import centroids_sql, collocations_sql
 from .centroids import op13_centroids
+from .collocations import op11_collocations
 from .mpeg_audio import op9_mpeg_audio
 from .packing import op2_packing
 from .quality import op7_quality
@@ -46,6 +47,7 @@ def mpeg_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
+    "op11_collocations": collocations_sql.SQL,
     "op13_centroids": centroids_sql.SQL,
     "url_rules_parts": f"""WITH p AS (SELECT page_id, {_AFTER} AS a FROM pages), h AS (SELECT page_id, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {_PATH} AS path FROM p)
 SELECT page_id, host, path, CASE WHEN {_UNDER('example.org')} AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN {_UNDER('example.org')} AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN {_UNDER('com')} AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN {_UNDER('com')} AND starts_with(path, '/de/') THEN 'com/de/' WHEN {_UNDER('org')} AND starts_with(path, '/') THEN 'org/' END AS rule FROM h""",
@@ -58,7 +60,7 @@ SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || repeat('\\x00'::BLO
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sentencepiece, op2_packing, op3_token_counts, op4_url_rules, op5_sketches, op6_secrets, op7_quality, op8_simhash, op9_mpeg_audio, op10_toxicity, op13_centroids)
+    own = (op1_sentencepiece, op2_packing, op3_token_counts, op4_url_rules, op5_sketches, op6_secrets, op7_quality, op8_simhash, op9_mpeg_audio, op10_toxicity, op11_collocations, op13_centroids)
     return {f.__name__: f for f in (*own, url_rules_parts, sketches_edits, secrets_base, mpeg_payloads)}
 
 
