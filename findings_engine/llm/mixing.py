@@ -34,7 +34,7 @@ from .common import table, written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, PERCENT, MOST, SEED = (3, 1, 2), 150, 2, 12
 #: Words of a block, slots of a shard, shards of a group, rows of a bucket of a source's stream, copies of a row made at once.
-BLOCK, SLOTS, GROUP, BUCKET, COPIES = 256, 1024, 64, 20_000, 1024
+BLOCK, SLOTS, GROUP, BUCKET, COPIES = 256, 1024, 64, 4_000, 1024
 #: Sources up to which their table is broadcast.
 FEW = 10_000
 
