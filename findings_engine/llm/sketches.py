@@ -2,14 +2,13 @@
 
 A sketch of a union is the union of the sketches, and a sketch's size estimates the document's number of
 distinct shingles, so that containment between documents of very unequal length can be told from sketches
-alone. A document none of whose hashes is below the fraction keeps its smallest one, so that only texts
-without words have an empty fingerprint. Such a fingerprint says nothing below the fraction: its containment is
-answered only where the other one holds all hashes up to the smallest, and else is null. Where the hashes themselves are
-at hand, ``compared`` measures all of them if either text has fewer than SHORT shingles, and the sketches otherwise.
+alone. All that is compared is two sketches, whatever the texts' lengths; no other hash is looked at. Of a hash below the fraction
+the MARK_BITS bits after the leading zeros are kept. A text of n shingles has none below the fraction with a chance of (1 - 2**-FRACTION_BITS)**n;
+its sketch is empty like that of a text without words. Two empty sketches have likeness 1, one has 0; an empty one's containment is null, as it tells none.
 
 The next document in ascending id (a whole number) comes from one shuffle of the texts into ranges of ids, whose partitions follow
 from the table's size: each range also gets the head of the next one, as a guest. Rows of one id are ordered by text. A null id has no place in this
-order: its next text is empty. Null texts are empty; two empty fingerprints have likeness 1, one has 0.
+order: its next text is empty. Null texts are empty.
 An empty table gives no rows. Texts of any length are cut into words once and hashed in one pass. Only the named columns are read.
 """
 
@@ -22,10 +21,8 @@ from pyspark.sql import functions as F
 from .common import partitions_for, table
 
 SHINGLE_WORDS = 5
-#: The fraction is 2**-FRACTION_BITS.
-FRACTION_BITS = 3
-#: Texts of fewer shingles have too few hashes below the fraction (128 on average at this number) for an estimate.
-SHORT = 1024
+#: The fraction is 2**-FRACTION_BITS; bits that are kept of a hash below it.
+FRACTION_BITS, MARK_BITS = 2, 32
 #: Rows of a range of ids, if ids between two sampled quantiles are spread evenly; ranges of a range of ranges; quantiles.
 RANGE_ROWS, RANGES, COARSE = 256, 4096, 256
 
@@ -42,16 +39,14 @@ def shingle_hashes(w: Column, k: int = SHINGLE_WORDS) -> Column:
 
 
 def sketch(hashes: Column, bits: int = FRACTION_BITS) -> Column:
-    """Sorted distinct hashes below the fraction, or else the smallest as an unsigned number."""
+    """Sorted distinct marks of the hashes below the fraction."""
     low = F.filter(hashes, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0)
-    flip = F.lit(-(2**63))
-    least = F.transform(F.slice(F.array_sort(F.transform(hashes, lambda x: x.bitwiseXOR(flip))), 1, 1), lambda x: x.bitwiseXOR(flip))
-    return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(least)
+    return F.array_sort(F.array_distinct(F.transform(low, lambda x: F.shiftrightunsigned(x, 64 - bits - MARK_BITS))))
 
 
-def merge(a: Column, b: Column, bits: int = FRACTION_BITS) -> Column:
+def merge(a: Column, b: Column) -> Column:
     """The sketch of two documents together."""
-    return sketch(F.array_union(a, b), bits)
+    return F.array_sort(F.array_union(a, b))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -60,27 +55,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _share(a: Column, b: Column) -> Column:
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
-
-
-def empty_below(a: Column, bits: int = FRACTION_BITS) -> Column:
-    """Whether the sketch is that of a text with words none of whose hashes is below the fraction."""
-    return F.when(F.size(a) == 0, False).otherwise(F.shiftrightunsigned(F.get(a, F.lit(0)), 64 - bits) != 0)
-
-
-def containment(a: Column, b: Column, bits: int = FRACTION_BITS) -> Column:
-    """Estimated share of a's shingles that b has too; null where the sketches don't tell."""
-    least = lambda x: F.get(x, F.lit(0)).bitwiseXOR(F.lit(-(2**63)))
-    told = F.when(F.size(b) == 0, 0.0).when(empty_below(b, bits) & (least(a) <= least(b)), (least(a) == least(b)).cast("double"))
-    return F.when(empty_below(a, bits), told).otherwise(_share(a, b))
-
-
-def compared(measure, hashes_a: Column, hashes_b: Column, a: Column, b: Column, short: int = SHORT) -> Column:
-    """``likeness`` or ``containment`` of two texts: exact from all their hashes if one is short, else from their sketches."""
-    whole = _share if measure is containment else measure
-    exact = whole(F.array_distinct(hashes_a), F.array_distinct(hashes_b))
-    return F.when(F.least(F.size(hashes_a), F.size(hashes_b)) < short, exact).otherwise(measure(a, b))
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of a's shingles that b has too; null where a's sketch is empty."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def as_text(a: Column) -> Column:
@@ -128,8 +105,6 @@ def op5_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("edited", edited)
     three = ("text", "edited", "next_text")
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(words(F.col(c)).alias(c) for c in three))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", *(shingle_hashes(F.col(c)).alias(c) for c in three))
-    rows = rows.select("*", *(sketch(F.col(c)).alias(f"{c}_sketch") for c in three))
-    (ha, a), (hb, b), (hc, c) = ((F.col(x), F.col(f"{x}_sketch")) for x in three)
-    near = compared(likeness, ha, hb, a, b).alias("near_edited"), compared(likeness, ha, hc, a, c).alias("near_next")
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"), *near)
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", *(sketch(shingle_hashes(F.col(c))).alias(c) for c in three))
+    a, b, c = map(F.col, three)
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
