@@ -19,9 +19,11 @@ table gives no rows. The same rows give the same mix whatever their partitions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +79,8 @@ class Permutation:
         half = np.uint64(max(1, ((self.n - 1).bit_length() + 1) // 2))
         mask = (np.uint64(1) << half) - np.uint64(1)
         left, right = x >> half, x & mask
-        for r in reversed(range(self.rounds)) if back else range(self.rounds):
-            seed = hash_of(*self.key, r)
+        seeds = round_seeds(self.key, self.rounds)
+        for seed in reversed(seeds) if back else seeds:
             if back:
                 left, right = right ^ (_mixed(left, seed) & mask), left
             else:
@@ -96,11 +98,10 @@ class Permutation:
         return int(self(np.array([x], np.uint64), back=True)[0])
 
 
-def hash_of(*key: int) -> int:
-    h = 0
-    for k in key:
-        h = int(_mixed(np.array([h], np.uint64), (0x9E3779B97F4A7C15 * (k + 1)) % 2**64)[0])
-    return h
+@lru_cache(100_000)
+def round_seeds(key: tuple[int, ...], rounds: int) -> tuple[int, ...]:
+    digests = (hashlib.blake2b(repr((key, r)).encode(), digest_size=8).digest() for r in range(rounds))
+    return tuple(int.from_bytes(d, "little") for d in digests)
 
 
 # -- what each source gives ----------------------------------------------------------------------------------
@@ -192,29 +193,32 @@ def slot_table(spark: SparkSession, draws: Draws) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.partitionBy("number").orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = each.withColumn("start", before).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("number", "start"))).alias("starts"))
 
+    limits, all_drawn = np.array([s.slots for s in draws.sources]), np.array([drawn[k] for k in range(len(draws.sources))])
+
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, start in zip(batch.column("group").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                at = np.array([x["start"] for x in start])
                 first, counts = draws.of(g)
-                for n, row in enumerate(counts):
-                    number = np.repeat(np.arange(len(row)), row)
-                    ends = np.cumsum(row)
-                    index = at[number] + np.arange(len(number)) - (ends - row)[number]
-                    at = at + row
-                    # beyond a source's own slots: those of a source that is short of some
-                    limit = np.array([s.slots for s in draws.sources])[number]
-                    if (beyond := np.flatnonzero(index >= limit)).size:
-                        nth = over_before[number[beyond]] + index[beyond] - limit[beyond]
-                        to = np.searchsorted(short_until, nth, "right")
-                        index[beyond] = np.array([drawn[k] for k in range(len(row))])[to] + nth - (short_until - short)[to]
-                        number[beyond] = to
-                    block, take = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
-                    for k in np.unique(number):
-                        own = number == k
-                        block[own], take[own] = draws.sources[k].held(index[own])
-                    slot = Permutation(len(number), (draws.seed, first + n, len(row)))(np.arange(len(number)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), first + n)), pa.array(slot, pa.int32()), pa.array(number, pa.int32()), pa.array(block), pa.array(take, pa.int32())], names=["shard", "slot", "number", "block", "take"])
+                sizes = counts.sum(axis=1)
+                number = np.repeat(np.tile(np.arange(len(limits)), len(counts)), counts.ravel())
+                # the group's slots of a source are numbered in the order of its shards
+                order = np.argsort(number, kind="stable")
+                many = counts.sum(axis=0)
+                index = np.empty(len(number), np.int64)
+                index[order] = np.arange(len(number)) - np.repeat(np.cumsum(many) - many, many) + np.repeat([x["start"] for x in start], many)
+                # beyond a source's own slots: those of a source that is short of some
+                if (beyond := np.flatnonzero(index >= limits[number])).size:
+                    nth = over_before[number[beyond]] + index[beyond] - limits[number[beyond]]
+                    to = np.searchsorted(short_until, nth, "right")
+                    index[beyond] = all_drawn[to] + nth - (short_until - short)[to]
+                    number[beyond] = to
+                block, take = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+                for k in np.unique(number):
+                    own = np.flatnonzero(number == k)
+                    block[own], take[own] = draws.sources[k].held(index[own])
+                shard = np.repeat(first + np.arange(len(counts)), sizes)
+                slot = np.concatenate([Permutation(int(size), (draws.seed, first + n, len(limits)))(np.arange(size)) for n, size in enumerate(sizes)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot, pa.int32()), pa.array(number, pa.int32()), pa.array(block), pa.array(take, pa.int32())], names=["shard", "slot", "number", "block", "take"])
 
     return starts.repartition(tasks, "group").mapInArrow(slots, kind)
 
@@ -251,7 +255,8 @@ class Mix:
 
     def spans(self) -> DataFrame:
         """The mix: shard, slot, offset, and the span of words (start, length) of the document id that lies there; with number, size, digest and at."""
-        both = self.pieces().join(self.slots, ["number", "block"]).filter("offset < take")
+        # the planner can't know how many slots there are, and would broadcast them
+        both = self.pieces().join(self.slots.hint("merge"), ["number", "block"]).filter("offset < take")
         return both.withColumn("length", F.least("length", F.col("take") - F.col("offset"))).select("shard", "slot", "offset", "id", "number", "size", "digest", "at", "start", "length")
 
     def taken(self) -> DataFrame:
