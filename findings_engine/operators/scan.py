@@ -72,6 +72,14 @@ def capped(rows: DataFrame, order: list[str] | str, cap: int) -> DataFrame:
     return rows.withColumn("_place", place).crossJoin(F.broadcast(last)).filter((F.col("_n") < cap) | (F.col("_place") <= F.col("_last"))).drop("_last", "_n", "_place")  # one row
 
 
+def reached(rows: DataFrame, cap: int) -> int | None:
+    """The entry of the ``cap``-th added posting, the last that a scan with this cap looks at; None if there are fewer, or no cap."""
+    if cap <= 0:
+        return None
+    n, last = rows.filter(F.col("status") == "added").agg(F.count("*"), F.max("entry_pos")).first()
+    return last if n >= cap else None
+
+
 def counts(rows: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One row: postings, and every status, zeros included. ``failed``: status of entries that gave no postings at all."""
     one = rows.select("status", F.lit(1).alias("posting"))

@@ -1,24 +1,26 @@
-"""Files that people read, written by the driver: the tracker in Markdown, TSV files and reports.
+"""Files that people read: the tracker in Markdown, TSV files and reports.
 
-Operators return tables; a sink is the only place that writes, so leaving it out is a dry run. Each file is written beside its
-place and moved there. A lock file keeps two commands from writing at once. Tables of any size go to Parquet instead
-(``df.write``); these files hold what a person looks through.
+Operators return tables; a sink is the only place that writes, so leaving it out is a dry run. What a scan adds, and a change of states with its log,
+are runs that executors write and that are published whole or not at all (``committed``). The other files are small; the driver writes each
+beside its place and moves it there. A lock file keeps two commands from writing at once.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scan, tracker
 from ..sources.markdown import COLUMNS, rendered
+from . import committed
 
 # The labels of the tracker's table, and a scan's and a log's headers.
 HEADINGS = ("#", "Date", "Title", "Source", "Company", "Location", "URL", "Risk", "Confidence", "Status", "Report", "Notes")
@@ -38,19 +40,9 @@ def write_atomically(path: str, text: str) -> None:
     os.replace(beside, target)
 
 
-def append(path: str, header: tuple[str, ...], lines: list[str]) -> None:
-    """The lines behind a file's own; the header goes first into a new file."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    new = not target.exists()
-    if lines:
-        with target.open("a", encoding="utf-8") as f:
-            f.write("".join(f"{line}\n" for line in (["\t".join(header)] if new else []) + lines))
-
-
 @contextmanager
 def lock(path: str, stale_seconds: float = 30, attempts: int = 10, wait: float = 0.025) -> Iterator[None]:
-    """Holds the lock file; one older than ``stale_seconds`` is taken away. Raises Locked after so many attempts."""
+    """Holds the lock file, and touches it meanwhile; one untouched for ``stale_seconds`` is taken away. Raises Locked after so many attempts."""
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     for _ in range(attempts):
@@ -68,11 +60,20 @@ def lock(path: str, stale_seconds: float = 30, attempts: int = 10, wait: float =
                 time.sleep(wait)
     else:
         raise Locked(f"{path} is held by another process")
+    over = threading.Event()
+
+    def touched() -> None:
+        while not over.wait(max(0.1, abs(stale_seconds) / 6)):
+            with suppress(OSError):
+                os.utime(target)
+
     try:
         with os.fdopen(handle, "w") as f:
             json.dump({"pid": os.getpid(), "at": time.time()}, f)
+        threading.Thread(target=touched, daemon=True).start()
         yield
     finally:
+        over.set()
         target.unlink(missing_ok=True)
 
 
@@ -102,29 +103,37 @@ def tsv_lines(df: DataFrame, columns: tuple[str, ...], order: list[str]) -> list
     return [r.line for r in df.select(*order, cells.alias("line")).orderBy(*order).collect()]
 
 
-def write_additions(folder: str, found: DataFrame, run: str) -> list[str]:
-    """A file for each addition, named by its padded number and the run; their names."""
-    names = []
-    for label, line in ((r.label, r.line) for r in found.select("entry_pos", "pos", "label", F.concat_ws("\t", *scan.ADDITION).alias("line")).orderBy("entry_pos", "pos").collect()):
-        names.append(f"{label}-scan-{run}.tsv")
-        write_atomically(os.path.join(folder, names[-1]), "\t".join(scan.ADDITION) + "\n" + line + "\n")
-    return names
+def _under(root: str, path: str) -> str:
+    return os.path.relpath(path, root).replace(os.sep, "/")
 
 
-def write_history(path: str, before: DataFrame, new: DataFrame) -> None:
-    """The history's lines as they were, then the new ones: added postings first."""
-    old = [r.line for r in before.orderBy("pos").select("line").collect()]
-    write_atomically(path, "".join(f"{line}\n" for line in ["\t".join(scan.HISTORY), *old, *tsv_lines(new, scan.HISTORY, ["part", "entry_pos", "pos"])]))
+def publish_scan(root: str, run: str, additions: str, history: str, runs: str, found: DataFrame, known: DataFrame, line: tuple) -> None:
+    """What a scan adds, as one run: a file for each addition (named by its padded number and the run), lines of the history, a line of the runs."""
+    spark = found.sparkSession
+    place = ("a", "b", "c")
+    text = F.concat(F.lit("\t".join(scan.ADDITION) + "\n"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scan.ADDITION)), F.lit("\n"))
+    name = F.concat(F.lit(f"{_under(root, additions)}/"), "label", F.lit(f"-scan-{run}.tsv"))
+    numbers = lambda *columns: [c.cast("long").alias(n) for c, n in zip(columns, place, strict=True)]
+    files = found.select(F.lit("file").alias("kind"), name.alias("path"), *numbers(F.lit(0), F.col("entry_pos"), F.col("pos")), text.alias("line"))
+    ordered = known.select(*numbers(F.col("part"), F.col("entry_pos"), F.col("pos")), *(F.col(c).alias(f"cell_{c}") for c in scan.HISTORY))
+    added = committed.lines(ordered, "append", _under(root, history), tuple(f"cell_{c}" for c in scan.HISTORY), list(place))
+    ran = spark.createDataFrame([("append", _under(root, runs), 0, 0, 0, "\t".join(map(str, line)))], "kind string, path string, a long, b long, c long, line string")
+    headers = {_under(root, history): "\t".join(scan.HISTORY), _under(root, runs): "\t".join(scan.RUNS)}
+    committed.publish(files.unionByName(added).unionByName(ran), root, run, list(place), headers)
 
 
-def append_run(path: str, stamp: str, portals: str, entries: int, counted: dict) -> None:
-    cells = (stamp, os.path.basename(portals), entries, counted["postings"], counted["added"], scan.skipped(counted))
-    append(path, scan.RUNS, ["\t".join(map(str, cells))])
+def publish_states(spark: SparkSession, root: str, run: str, path: str, rows: DataFrame, log_path: str, entries: DataFrame) -> None:
+    """The whole tracker with its new states, and the log's entries, as one run."""
+    table = [PREAMBLE, f"| {' | '.join(HEADINGS)} |", f"| {' | '.join('---' for _ in HEADINGS)} |"]
+    top = spark.createDataFrame([("replace", _under(root, path), n - len(table), line) for n, line in enumerate(table)], "kind string, path string, place long, line string")
+    cells = F.when(F.col("malformed"), F.col("raw")).otherwise(rendered(COLUMNS))
+    body = rows.select(F.lit("replace").alias("kind"), F.lit(_under(root, path)).alias("path"), F.col("pos").cast("long").alias("place"), cells.alias("line"))
+    log = committed.lines(entries.withColumn("place", _order_of(entries).cast("long")), "append", _under(root, log_path), LOG, ["place"])
+    committed.publish(top.unionByName(body).unionByName(log), root, run, ["place"], {_under(root, log_path): "\t".join(LOG)})
 
 
-def append_log(path: str, entries: DataFrame) -> None:
-    order = ["pos"] if "pos" in entries.columns else ["num"]
-    append(path, LOG, tsv_lines(entries, LOG, order))
+def _order_of(entries: DataFrame):
+    return F.col("pos") if "pos" in entries.columns else F.lit(0)
 
 
 def write_reservations(path: str, found: DataFrame) -> None:

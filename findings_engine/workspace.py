@@ -6,7 +6,10 @@ Every command returns a plain report (a dict with ``ok``) and leaves printing to
 from __future__ import annotations
 
 import os
-import shutil
+import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from .checks import integrity
 from .functions import risk
 from .operators import identity, merge, reports, scan, states, tracker
+from .sinks import committed
 from .sinks import files as sinks
 from .sources import documents, jobboard, listings, plugins
 from .sources.documents import Workspace
@@ -40,36 +44,78 @@ def _used(spark: SparkSession, w: Workspace, pending: bool) -> DataFrame:
     return listings.used_numbers(_rows(spark, w), listings.files(spark, w.reports), listings.files(spark, w.additions) if pending else None)
 
 
+def _root(w: Workspace) -> str:
+    """The folder that holds the workspace and its tracker, wherever that lies."""
+    return os.path.commonpath([w.path(), os.path.dirname(w.tracker_to_write)])
+
+
+@contextmanager
+def held(w: Workspace) -> Iterator[None]:
+    """The workspace's lock; runs that were committed before their writer died are brought to their end first."""
+    with sinks.lock(w.lock):
+        committed.recover(_root(w))
+        yield
+
+
+def scratch(spark: SparkSession, w: Workspace) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or the workspace's own where all runs on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{(shared or w.path('data')).rstrip('/')}/.scan-{uuid.uuid4().hex}"
+
+
+def _asked(spark: SparkSession, entries: list[dict], first: int, last: int, source: type[jobboard.JobBoards], folder: str | None) -> DataFrame:
+    """What the boards of the entries from ``first`` on and before ``last`` answer; places stay those in the whole list."""
+    return jobboard.fetched(spark, [e if first <= n < last else {"enabled": False} for n, e in enumerate(entries)], source, folder)
+
+
 def run_scan(spark: SparkSession, w: Workspace, dry: bool = False, limit: int = 0, source: type[jobboard.JobBoards] = jobboard.JobBoards, at: datetime | None = None, folder: str | None = None) -> dict:
-    """Fetch the entries' boards (also those of a ``folder`` of modules), tell new postings from known ones, number them and append to additions, history and runs."""
+    """Fetch the entries' boards (also those of a ``folder`` of modules), tell new postings from known ones, number them and publish additions, history and runs.
+
+    With a ``limit`` boards are asked in rounds, each of twice as many entries as the one before, until so many postings are new. What lies
+    behind the last of these counts for nothing, as if it had never been fetched: neither its postings nor entries that fail.
+    """
     at = at or now()
     entries = documents.portal_entries(documents.load_yaml(w.portals))
     known = plugins.discover(folder)
-    kept = w.path("data", f".scan-{run_id(at)}")  # what boards answered is written down at once, so that none is asked twice
+    kept = scratch(spark, w)  # what boards answered is written down at once, so that none is asked twice
     try:
-        jobboard.fetched(spark, entries, source, folder).write.mode("overwrite").parquet(f"{kept}/documents")
-        fetched = spark.read.parquet(f"{kept}/documents")
-        jobboard.postings(fetched, {known.board_of(e) for e in entries}, known.boards).write.mode("overwrite").parquet(f"{kept}/postings")
-        before = listings.history(spark, w.history)
-        scan.capped(scan.scanned(spark.read.parquet(f"{kept}/postings"), before), ["entry_pos", "pos"], limit).write.mode("overwrite").parquet(f"{kept}/rows")
-        rows, failed = spark.read.parquet(f"{kept}/rows"), fetched.filter("status <> 'fetched'")
+        before, wanted = listings.history(spark, w.history), {known.board_of(e) for e in entries}
+        first, size = 0, 1 if limit > 0 else max(1, len(entries))
+        while True:
+            last = min(len(entries), first + size)
+            _asked(spark, entries, first, last, source, folder).write.mode("append").parquet(f"{kept}/documents")
+            fetched = spark.read.parquet(f"{kept}/documents")
+            jobboard.postings(fetched, wanted, known.boards).write.mode("overwrite").parquet(f"{kept}/postings")
+            scan.capped(scan.scanned(spark.read.parquet(f"{kept}/postings"), before), ["entry_pos", "pos"], limit).write.mode("overwrite").parquet(f"{kept}/rows")
+            rows = spark.read.parquet(f"{kept}/rows")
+            reached = scan.reached(rows, limit)
+            if reached is not None or last >= len(entries):
+                break
+            first, size = last, size * 2
+        failed = fetched.filter("status <> 'fetched'")
+        failed = failed if reached is None else failed.filter(F.col("entry_pos") < reached)
         counted = scan.counts(rows, failed).first().asDict()
-        start = _used(spark, w, True).agg(F.coalesce(F.max("n"), F.lit(0)) + 1).first()[0]
-        found = scan.additions(rows, start, stamp(at)[:10])
-        written = []
-        if not dry:
-            written = sinks.write_additions(w.additions, found, run_id(at))
-            sinks.write_history(w.history, before, scan.history_rows(rows, stamp(at)[:10]))
-            sinks.append_run(w.runs, stamp(at), w.portals, len(entries), counted)
         errors = [r.asDict() for r in failed.select("entry_pos", "entry", "status", "error").orderBy("entry_pos").collect()]
-        return {"ok": counted["error"] == 0, "dry": dry, "run": run_id(at), "counts": counted, "next": start, "failed": errors, "files": written}
+        out = {"ok": counted["error"] == 0, "dry": dry, "run": run_id(at), "counts": counted, "failed": errors, "files": []}
+        first_number = lambda: _used(spark, w, True).agg(F.coalesce(F.max("n"), F.lit(0)) + 1).first()[0]
+        if dry:
+            return out | {"next": first_number()}
+        with held(w):
+            start = first_number()
+            line = (stamp(at), os.path.basename(w.portals), len(entries), counted["postings"], counted["added"], scan.skipped(counted))
+            found, told = scan.additions(rows, start, stamp(at)[:10]), scan.history_rows(rows, stamp(at)[:10])
+            sinks.publish_scan(_root(w), run_id(at), w.additions, w.history, w.runs, found, told, line)
+        written = sorted(n for n in os.listdir(w.additions) if n.endswith(f"-scan-{run_id(at)}.tsv")) if counted["added"] else []
+        return out | {"next": start, "files": written}
     finally:
-        shutil.rmtree(kept, ignore_errors=True)
+        listings.remove(spark, kept)
 
 
 def run_merge(spark: SparkSession, w: Workspace, catalog: states.Catalog, dry: bool = False, migrate: bool = False, backfill: bool = False) -> dict:
     """Merge the pending additions into the tracker, all or none; consumed files go to the archive, skipped ones stay."""
-    with sinks.lock(w.lock):
+    with held(w):
         rows = _rows(spark, w)
         if rows is not None and (bad := rows.filter("malformed").count()):
             return {"ok": False, "errors": [f"the tracker has {bad} malformed rows"], "merged": 0, "skipped": []}
@@ -101,7 +147,7 @@ def set_status(spark: SparkSession, w: Workspace, catalog: states.Catalog, selec
     named = catalog.resolve(state)
     if named is None:
         raise ValueError(f"{state!r} is no state")
-    with sinks.lock(w.lock):
+    with held(w):
         rows = _rows(spark, w)
         if rows is None:
             return {"ok": False, "error": "there is no tracker yet"}
@@ -109,13 +155,14 @@ def set_status(spark: SparkSession, w: Workspace, catalog: states.Catalog, selec
         if row["status"] == named:
             return {"ok": True, "unchanged": True, "num": row["num"]}
         if not dry:
-            sinks.write_tracker(w.tracker, tracker.with_status(rows, row["pos"], named))
-            sinks.append_log(w.status_log, tracker.log_entry(spark, stamp(at or now()), row["status"], named, source, row["num"], note))
+            when = at or now()
+            entry = tracker.log_entry(spark, stamp(when), row["status"], named, source, row["num"], note)
+            sinks.publish_states(spark, _root(w), f"{run_id(when)}-{uuid.uuid4().hex}", w.tracker, tracker.with_status(rows, row["pos"], named), w.status_log, entry)
         return {"ok": True, "num": row["num"], "title": row["title"], "prev": row["status"], "next": named, "dry": dry}
 
 
 def normalize_statuses(spark: SparkSession, w: Workspace, catalog: states.Catalog, dry: bool = False, at: datetime | None = None) -> dict:
-    with sinks.lock(w.lock):
+    with held(w):
         rows = _rows(spark, w)
         if rows is None:
             return {"ok": False, "error": "there is no tracker yet"}
@@ -124,13 +171,12 @@ def normalize_statuses(spark: SparkSession, w: Workspace, catalog: states.Catalo
         touched = len(changes) + rows.filter("malformed").count()
         invalid = [r.num for r in unknown.orderBy("pos").collect()]
         if not dry and touched:
-            sinks.write_tracker(w.tracker, after)
-            sinks.append_log(w.status_log, log)
+            sinks.publish_states(spark, _root(w), f"{run_id(at or now())}-{uuid.uuid4().hex}", w.tracker, after, w.status_log, log)
         return {"ok": not invalid, "changed": touched, "changes": changes, "invalid": invalid, "dry": dry}
 
 
 def dedup(spark: SparkSession, w: Workspace, dry: bool = False) -> dict:
-    with sinks.lock(w.lock):
+    with held(w):
         rows = _rows(spark, w)
         if rows is None:
             return {"ok": False, "error": "there is no tracker yet"}
@@ -142,7 +188,7 @@ def dedup(spark: SparkSession, w: Workspace, dry: bool = False) -> dict:
 
 
 def fix_links(spark: SparkSession, w: Workspace, dry: bool = False) -> dict:
-    with sinks.lock(w.lock):
+    with held(w):
         rows = _rows(spark, w)
         if rows is None:
             return {"ok": False, "error": "there is no tracker yet"}
@@ -162,7 +208,7 @@ def evaluate(spark: SparkSession, w: Workspace, selector: str, indicators: str =
     """Score a row's indicators and write its report under the next number; the report's own summary is checked."""
     if decision and decision not in reports.DECISIONS:
         raise ValueError(f"the decision is one of {', '.join(reports.DECISIONS)}")
-    with sinks.lock(w.lock):
+    with held(w):
         rows = _rows(spark, w)
         if rows is None:
             return {"ok": False, "error": "there is no tracker yet"}
@@ -180,7 +226,7 @@ def evaluate(spark: SparkSession, w: Workspace, selector: str, indicators: str =
 
 
 def reserve(spark: SparkSession, w: Workspace, count: int = 1, at: datetime | None = None) -> dict:
-    with sinks.lock(w.lock):
+    with held(w):
         found = listings.reservations(spark, w.reservations)
         after, (start, end) = identity.reserved(found, _used(spark, w, False), count, stamp(at or now()))
         sinks.write_reservations(w.reservations, after)
@@ -188,7 +234,7 @@ def reserve(spark: SparkSession, w: Workspace, count: int = 1, at: datetime | No
 
 
 def release(spark: SparkSession, w: Workspace, label: str) -> dict:
-    with sinks.lock(w.lock):
+    with held(w):
         sinks.write_reservations(w.reservations, identity.released(listings.reservations(spark, w.reservations), label))
         return {"ok": True, "label": label}
 

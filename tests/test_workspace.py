@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 from datetime import UTC, datetime
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from findings_engine import __main__ as cli
 from findings_engine import workspace as commands
 from findings_engine.operators import identity, reports, states, tracker
+from findings_engine.sinks import committed
 from findings_engine.sinks import files as sinks
 from findings_engine.sources import documents, jobboard, listings, plugins
 from findings_engine.sources.documents import Workspace
@@ -292,6 +294,57 @@ def test_scan_of_failing_entries_and_limits(spark, place):
     assert (limited["added"], limited["postings"], limited["invalid_posting"]) == (2, 2, 0)
 
 
+def test_a_limit_stops_the_scan(spark, place):
+    """Entries behind the last new posting are as if never asked: their failures don't count; those before it do."""
+    portals(place, {"name": "who"}, {"integration": "lever", "company": "a"}, {"name": "after"}, {"integration": "lever", "company": "down"}, {"integration": "lever", "company": "more"})
+    found = commands.run_scan(spark, place.w, limit=1, source=StubBoards, at=AT)
+    assert (found["counts"]["added"], found["counts"]["postings"], found["counts"]["no_provider"], found["counts"]["error"]) == (1, 1, 1, 0)
+    assert found["ok"] and [f["entry"] for f in found["failed"]] == ["who"] and len(found["files"]) == 1
+    assert len((place.root / "data/scan-history.tsv").read_text().splitlines()) == 2
+    every = commands.run_scan(spark, place.w, dry=True, limit=1000, source=StubBoards)
+    assert (every["counts"]["no_provider"], every["counts"]["error"], every["ok"]) == (2, 1, False)
+    assert not [n for n in os.listdir(place.root / "data") if n.startswith(".scan")]
+
+
+def test_a_scan_is_whole_or_not_there(spark, place, monkeypatch):
+    """The committer dies in the middle: the next command under the lock brings the scan to its end."""
+    portals(place, {"name": "Plain", "url": "https://api.lever.co/x", "company": "b", "source": "stub"})
+    publish = committed.publish
+    monkeypatch.setattr(committed, "publish", lambda *a, **k: publish(*a, source=DiesMidway, **k))
+    with pytest.raises(Exception, match="killed"):
+        commands.run_scan(spark, place.w, source=StubBoards, at=AT)
+    monkeypatch.undo()
+    assert not os.path.exists(place.w.history) and not os.path.exists(place.w.runs)
+    merged = commands.run_merge(spark, place.w, CATALOG)
+    added = (place.root / "data/scan-history.tsv").read_text().splitlines()
+    assert merged["ok"] and merged["merged"] == len([x for x in added if "\tadded\t" in x]) > 0
+    assert len((place.root / "data/scan-runs.tsv").read_text().splitlines()) == 2
+    assert commands.run_scan(spark, place.w, source=StubBoards, at=AT)["counts"]["added"] == 0
+
+
+class DiesMidway(committed.RunFiles):
+    @classmethod
+    def name(cls):
+        return "diesmidway"
+
+    def writer(self, schema, overwrite):
+        class Dying(committed.Writer):
+            def commit(self, messages):
+                next(self.steps(messages))
+                raise RuntimeError("killed")
+
+        return Dying(self.options)
+
+
+def test_a_held_lock_stays_fresh(place):
+    with sinks.lock(place.w.lock, stale_seconds=0.6):
+        before = os.stat(place.w.lock).st_mtime
+        time.sleep(1.2)
+        assert os.stat(place.w.lock).st_mtime > before
+        with pytest.raises(sinks.Locked), sinks.lock(place.w.lock, stale_seconds=0.6, attempts=2, wait=0):
+            pass
+
+
 PLUGIN = """
 from findings_engine.sources.boards import FIELDS, Board
 
