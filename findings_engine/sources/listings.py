@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import markdown, tsv
+from .numbered import numbered
 
 SKIPPED_FOLDERS = ("node_modules", ".git")
 
@@ -51,11 +52,6 @@ def texts(spark: SparkSession, folder: str, ending: str, deep: bool = False) ->
     return _kept(rows)
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """Files in the order of their paths."""
-    return df.orderBy("path")
-
-
 def reports(spark: SparkSession, folder: str) -> DataFrame:
     return texts(spark, folder, ".md", deep=True)
 
@@ -74,18 +70,15 @@ def findings(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame | None:
-    """pos, line of a file's lines that aren't blank, numbered from 0; None if the file isn't there."""
-    if not exists(spark, path):
-        return None
-    whole = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n", -1), lambda x: F.rlike(x, F.lit(r"\S"))).alias("lines"))
-    return whole.select(F.posexplode("lines").alias("pos", "line"))
+    """pos, line of a file's lines that aren't blank, numbered from 0 (by many tasks, if the file is long); None if the file isn't there."""
+    return numbered(spark, path).select("pos", "line") if exists(spark, path) else None
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
     """pos, line, date, url, title, status, source of the scan history; lines of fewer than two cells have no url."""
     found = lines(spark, path)
     if found is None:
-        return spark.createDataFrame([], "pos int, line string, date string, url string, title string, status string, source string")
+        return spark.createDataFrame([], "pos long, line string, date string, url string, title string, status string, source string")
     cells = F.split("line", "\t", -1)
     return found.filter("pos > 0").select("pos", "line", *(F.get(cells, F.lit(k)).alias(c) for k, c in enumerate(("date", "url", "title", "status", "source"))))
 
@@ -94,7 +87,7 @@ def reservations(spark: SparkSession, path: str) -> DataFrame:
     """pos, start, end, timestamp of the reserved ranges; lines without both bounds are left out."""
     found = lines(spark, path)
     if found is None:
-        return spark.createDataFrame([], "pos int, start long, end long, timestamp string")
+        return spark.createDataFrame([], "pos long, start long, end long, timestamp string")
     cells = F.split("line", "\t", -1)
     rows = found.filter("pos > 0").select("pos", F.get(cells, F.lit(0)).try_cast("long").alias("start"), F.get(cells, F.lit(1)).try_cast("long").alias("end"), F.coalesce(F.get(cells, F.lit(2)), F.lit("")).alias("timestamp"))
     return rows.filter("start is not null and end is not null")
