@@ -18,7 +18,7 @@ import numpy as np
 from .common import REMEMBERED_CHARS
 
 #: Parts that one generation of the memory holds; there are two.
-MEMORY = 450_000
+MEMORY = 300_000
 #: Signs that are neither letters, digits, white space nor the apostrophe of a contraction.
 SIGNS = ".,;:!?%&*$#"
 #: White space as the vocabulary's pattern knows it, so many in a row.

@@ -13,8 +13,8 @@ their distinct shingles of SHINGLE_WORDS words is an edge, except pairs that edg
 large group is dealt in blocks of pairs of its parts, so that a task holds about 2 * PART_BYTES of text whatever the size.
 
 A text of fewer words is one shingle; a text without words is a copy of any other such text. A null id belongs to no group and its row stays. Rows of one id
-and other words are rows like any others: each is judged by its own words. Of rows of one id and the same words the one whose cells' hash is least stays
-(rows equal in all cells meet in the task that picks one). An empty table gives none.
+and other words are rows like any others: each is judged by its own words. Of rows of one id and the same words the first by text and by a hash of
+the cells stays (such rows meet in the task that picks one). An empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -119,7 +119,7 @@ def similar_pairs(sets: list[set]) -> list[tuple[int, int]]:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, mark (a hash of the row's cells), key of the words, n_bytes, and the fingerprints."""
+    """id, key of the words, n_bytes, and the fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -127,15 +127,10 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             prints = [word_fingerprints(t) for t in texts]
             columns = [pa.array([word_key(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())]
             columns += [pa.array([p[k] for p in prints], pa.int64()) for k in range(FAMILIES)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), *columns], names=["id", "mark", "key", "n_bytes", *(f"fp{k}" for k in range(FAMILIES))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "key", "n_bytes", *(f"fp{k}" for k in range(FAMILIES))])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _mark(df, text_col).alias("mark"))
-    return rows.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, mark long, key binary, n_bytes long, " + ", ".join(f"fp{k} long" for k in range(FAMILIES)))
-
-
-def _mark(df: DataFrame, text_col: str) -> Column:
-    """A hash of a row's cells, but for those that have none."""
-    return F.xxhash64(text_col, *(c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, key binary, n_bytes long, " + ", ".join(f"fp{k} long" for k in range(FAMILIES)))
 
 
 @F.arrow_udf(BinaryType())
@@ -144,21 +139,20 @@ def _key(text: pa.Array) -> pa.Array:
 
 
 def verified(docs: DataFrame, classes: DataFrame, linked: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(a, b): edges between similar texts of each group of ``linked`` (node, root), that connect all of them. A node is (id, mark, key)."""
-    members = linked.join(classes.select("node", "n_bytes"), "node").withColumn("key", F.col("node.key"))
+    """(a, b): edges between similar texts of each group of ``linked`` (node, root), that connect all of them."""
+    members = linked.join(classes.select("node", "id", "key", "n_bytes"), "node")
     sizes = members.groupBy("root").agg(F.ceil(F.sum("n_bytes") / part_bytes).cast("int").alias("parts")).withColumn("parts", F.greatest("parts", F.lit(1)))
     members = members.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    # a row that isn't the class's own, of the same id, has another mark
-    rows = docs.select(F.col(id_col).alias("id"), _mark(docs, text_col).alias("mark"), F.col(text_col).alias("text"))
-    rows = rows.join(members.drop("n_bytes").withColumns({"id": F.col("node.id"), "mark": F.col("node.mark")}), ["id", "mark"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(members.drop("n_bytes"), "id")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.select("root", "node", "key", "text", "part", other.alias("other")).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "key", "text")
 
     def run(group: pa.Table) -> pa.Table:
+        # an id's rows of other words belong to other classes, its further rows of the same words are copies
         nodes, sets, number, met = [], [], {}, set()
         for node, key, text in zip(group.column("node"), group.column("key"), group.column("text").cast(pa.binary()), strict=True):
             text = text.as_py() or b""
-            if word_key(text) == key.as_py() and key.as_py() not in met:  # rows equal in all cells are one
+            if word_key(text) == key.as_py() and key.as_py() not in met:
                 met.add(key.as_py())
                 nodes.append(node)
                 sets.append(shingles(text, number))
@@ -171,12 +165,12 @@ def verified(docs: DataFrame, classes: DataFrame, linked: DataFrame, id_col: str
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """The first row (node: id, mark, key) of each class of equal words, and (node, root) of the classes that have edges."""
+    """The classes of equal words (node: a number, id: the least, key), and (node, root) of those that have edges."""
     each = [f"fp{k}" for k in range(FAMILIES)]
     docs = docs.filter(F.col(id_col).isNotNull())
     prints = fingerprints(docs, id_col, text_col)
-    classes = prints.groupBy("key", *each).agg(F.min(F.struct("id", "mark")).alias("first"), F.max("n_bytes").alias("n_bytes"))
-    classes = written(classes.select(F.struct("first.id", "first.mark", "key").alias("node"), "n_bytes", *each), "classes")
+    classes = prints.groupBy("key", *each).agg(F.min("id").alias("id"), F.max("n_bytes").alias("n_bytes"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", F.posexplode(F.array(*each)).alias("family", "fp"))
     least = written(members.groupBy("family", "fp").agg(F.min("node").alias("least")), "families")
     inside = members.join(least, ["family", "fp"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
@@ -186,15 +180,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
     found = reduce(DataFrame.union, [written(links(batch, budget), "links") for batch in batches])
     across = found.join(one, ["family", "a"]).join(two, ["family", "b"])
     linked = written(roots(inside.union(across.select(F.col("x").alias("a"), F.col("y").alias("b"))), "a", "b"), "candidates")
-    return classes.select("node"), roots(verified(docs, classes, linked, id_col, text_col), "a", "b")
+    return classes.select("node", "id", "key"), roots(verified(docs, classes, linked, id_col, text_col), "a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row of each group, by id; the columns are those of ``docs``."""
-    nodes, linked = groups(docs, id_col, text_col)
-    least = nodes.join(linked.filter("node <> root").select("node"), "node", "left_anti").select("node.*")
-    key, mark, nth = (free_name(c, docs.columns) for c in ("_key", "_mark", "_nth"))
-    rows = docs.filter(F.col(id_col).isNotNull()).withColumns({mark: _mark(docs, text_col), key: _key(text_col)})
-    kept = rows.join(least.select(F.col("id").alias(id_col), F.col("mark").alias(mark), F.col("key").alias(key)), [id_col, mark, key], "left_semi")
-    kept = kept.withColumn(nth, F.row_number().over(W.partitionBy(id_col, mark, key).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
+    """The row of the least id of each group; the columns are those of ``docs``."""
+    classes, linked = groups(docs, id_col, text_col)
+    of = classes.join(linked, "node", "left")
+    first = of.filter("root is not null").groupBy("root").agg(F.min(F.struct("id", "key")).alias("first")).select("first.*")
+    least = of.filter("root is null").select("id", "key").unionByName(first)
+    key, nth = (free_name(c, docs.columns) for c in ("_key", "_nth"))
+    rows = docs.filter(F.col(id_col).isNotNull()).withColumn(key, _key(text_col))
+    kept = rows.join(least.select(F.col("id").alias(id_col), F.col("key").alias(key)), [id_col, key], "left_semi")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = W.partitionBy(id_col, key).orderBy(text_col, F.xxhash64(*plain))
+    kept = kept.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
