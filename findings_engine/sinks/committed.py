@@ -15,9 +15,11 @@ The root may be in any store that pyarrow.fs reads; all executors have to reach
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -59,6 +61,22 @@ def write_whole(fs: stores.FileSystem, path: str, body: bytes) -> None:
     fs.move(beside, path)
 
 
+def keep_first(fs: stores.FileSystem, path: str, body: bytes) -> None:
+    """The body at the path, unless something is there: of several writers the first one's stays."""
+    fs.create_dir(posixpath.dirname(path), recursive=True)
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(beside) as out:
+        out.write(body)
+    if isinstance(fs, stores.LocalFileSystem):
+        with suppress(FileExistsError):
+            os.link(beside, path)
+        os.unlink(beside)
+    elif fs.get_file_info(path).type == stores.FileType.NotFound:
+        fs.move(beside, path)
+    else:
+        fs.delete_file(beside)
+
+
 @dataclass
 class Attempt(WriterCommitMessage):
     """What a task staged: its partition and folder, and the paths that it has lines for, by kind."""

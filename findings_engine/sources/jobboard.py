@@ -18,11 +18,13 @@ from dataclasses import dataclass, field
 from email.utils import parsedate_to_datetime
 from urllib.parse import parse_qsl, quote, urlencode, urlsplit, urlunsplit
 
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.net import Guard, GuardError
+from ..sinks.committed import keep_first, store_of
 from . import boards
 
 # Where each board's interface is, which members of an entry build its URL, and limits of the transport.
@@ -292,8 +294,56 @@ class Reader(DataSourceReader):
         yield (partition.place, name, board, e.get("company"), e.get("name"), str(e.get("source") or board or ""), *terms, payload, status, error)
 
 
+@dataclass
+class Asked(InputPartition):
+    """An entry in a round of fetching."""
+
+    place: int
+    entry: dict
+    round: int
+
+
+class StreamReader(DataSourceStreamReader):
+    """Rounds of fetching as a stream: an offset is a round's number, the whole intervals of ``every`` seconds since the epoch.
+
+    A batch asks every board once, for its last round; rounds that passed while no query ran are not made up for. What an entry's board answers, errors too, is kept
+    below ``kept`` under the round and the entry's place, before the batch sees it. The first answer that is kept counts, so a batch that is run again, by
+    a retry or after a restart, has the same rows and asks nobody. Rounds that a query has committed are deleted.
+    """
+
+    def __init__(self, reader: Reader, kept: str, every: float, now: Callable[[], float] = time.time):
+        self.reader, self.kept, self.every, self.now = reader, kept, every, now
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"round": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"round": int(self.now() / self.every)}
+
+    def partitions(self, start: dict, end: dict) -> list[Asked]:
+        return [Asked(p.place, p.entry, end["round"]) for p in self.reader.partitions()] if end["round"] > start["round"] else []
+
+    def read(self, partition: Asked) -> Iterator[tuple]:
+        fs, base = store_of(self.kept)
+        place = f"{base}/{partition.round}/{partition.place}.json"
+        if fs.get_file_info(place).type != FileType.File:
+            rows = json.dumps([list(r) for r in self.reader.read(Entry(partition.place, partition.entry))])
+            keep_first(fs, place, rows.encode())
+        with fs.open_input_stream(place) as body:
+            yield from map(tuple, json.loads(body.read()))
+
+    def commit(self, end: dict) -> None:
+        fs, base = store_of(self.kept)
+        for info in fs.get_file_info(FileSelector(base, allow_not_found=True)):
+            if info.type == FileType.Directory and info.base_name.isdigit() and int(info.base_name) <= end["round"]:
+                fs.delete_dir(info.path)
+
+
 class JobBoards(DataSource):
-    """Option ``entries``: the entries as JSON text; ``plugins``: a folder of further boards that every executor sees. A subclass may give another transport."""
+    """Option ``entries``: the entries as JSON text; ``plugins``: a folder of further boards that every executor sees. A subclass may give another transport.
+
+    As a stream also ``kept``, a folder that all executors share, and ``every``, the seconds of a round (60).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -312,6 +362,17 @@ class JobBoards(DataSource):
         return Reader(json.loads(self.options.get("entries", "[]")), self.transport(), found.boards, {n: s for n, s in found.seeds.items() if not callable(s)} | {n: _Seed(self.options["plugins"], n) for n, s in found.seeds.items() if callable(s)})
 
 
+    def streamReader(self, schema) -> StreamReader:  # noqa: N802
+        return StreamReader(self.reader(schema), self.options["kept"], float(self.options.get("every", "60")))
+
+
+def stream(spark: SparkSession, entries: list[dict], kept: str, every: float = 60, source: type[JobBoards] = JobBoards, plugins: str | None = None) -> DataFrame:
+    """A stream of rows of SCHEMA: one for each enabled entry and round. One query reads one folder ``kept``."""
+    spark.dataSource.register(source)
+    reader = spark.readStream.format(source.name()).option("entries", json.dumps(entries)).option("kept", kept).option("every", str(every))
+    return (reader.option("plugins", plugins) if plugins else reader).load()
+
+
 def fetched(spark: SparkSession, entries: list[dict], source: type[JobBoards] = JobBoards, plugins: str | None = None) -> DataFrame:
     """A row of SCHEMA for each enabled entry. Entries beyond the reader's one are fetched in tasks of their own."""
     spark.dataSource.register(source)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import merge
+from ..operators import merge, tracker
 from ..operators.states import Catalog
 from ..sources import listings, tsv
-from .history import exists
+from . import history
 
 
 def additions(spark: SparkSession, folder: str, archive: str | None = None, files: int = 1000) -> DataFrame:
@@ -21,22 +21,29 @@ def additions(spark: SparkSession, folder: str, archive: str | None = None, file
     return tsv.parse(texts).withColumn("name", F.substring_index("path", "/", -1))
 
 
-def merge_stream(pending: DataFrame, table: str, refused: str, checkpoint: str, catalog: Catalog) -> StreamingQuery:
-    """Each micro-batch is merged into the Parquet table of findings: new identities are appended, files with errors go to ``refused``.
+def merge_stream(pending: DataFrame, table: str, refused: str, checkpoint: str, catalog: Catalog, skipped: str | None = None) -> StreamingQuery:
+    """Each micro-batch is merged into the Parquet table of findings: new identities are appended, files with errors go to ``refused``,
+    those of known identities, with the number that they repeat, to ``skipped`` (beside ``refused``, if not given).
 
-    A batch that runs again overwrites its own partition and doesn't see it as known, so it leaves both tables as they were.
+    A batch that runs again overwrites its own partition and doesn't see it as known, so it leaves the tables as they were. It reads only
+    the buckets of findings that its identities fall in.
     """
+    skipped = skipped or f"{refused.rstrip('/')}-skipped"
+
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        if exists(spark, table):
-            known = spark.read.parquet(table).filter(F.col("batch") != number).withColumn("pos", F.struct("batch", "name"))
-        else:
-            known = spark.createDataFrame([], ", ".join(f"{c} string" for c in merge.COLUMNS) + ", pos int")
         wrong = merge.errors_of(df, catalog)
         good = df.join(wrong.select("name").distinct(), "name", "left_anti")
+        keys = tracker.canonical(good.filter("bound"), catalog).select(tracker.identity_key().alias("key"))
+        known = history.may_match(spark, table, keys, "key", number)
+        if known is None:
+            known = spark.createDataFrame([], ", ".join(f"{c} string" for c in merge.COLUMNS) + ", pos int")
+        else:
+            known = known.withColumn("pos", F.struct("batch", "name")).drop("key", "bucket")
         done = merge.merged(known, good, catalog)
-        done.accepted.select(*merge.COLUMNS, "name").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        history.append(done.accepted.select(*merge.COLUMNS, "name", "key"), table, number, "key")
         wrong.write.mode("overwrite").parquet(f"{refused}/batch={number}")
+        done.skipped.select("name", "num", "duplicate_of").write.mode("overwrite").parquet(f"{skipped}/batch={number}")
 
     return pending.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
