@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 
 def first_wins(df: DataFrame, key: list[str] | str, order: list[str] | str, label: str, duplicate_of: str = "duplicate_of") -> DataFrame:
@@ -44,23 +45,30 @@ def next_number(*numbers: DataFrame) -> DataFrame:
     return used.agg((F.coalesce(F.max(n), F.lit(0)) + 1).cast("long").alias("next_num"), F.count_distinct(n).cast("long").alias("used"))
 
 
-def numbered(df: DataFrame, order: list[str], start: int | Column, name: str = "num", ranges: int = 64) -> DataFrame:
-    """Numbers in order from ``start``, by the counts of ranges of the order and places within each; no task sees all rows.
+#: Ranges of an order, and rows sampled for each of them.
+RANGES, SAMPLED = 256, 50
 
-    The ranges come from the rows' approximate quantiles of the first column of the order where that is a number; rows equal
-    in all of ``order`` are numbered in any order.
+
+def numbered(df: DataFrame, order: list[str], start: int | Column, name: str = "num", ranges: int = RANGES) -> DataFrame:
+    """Numbers in order from ``start``, by the counts of ranges of the whole order and places within each; no task sees all rows.
+
+    The order may be of any columns that can be compared, nulls first. Its ranges lie between keys of a sample of some ``ranges`` * SAMPLED rows, which the driver
+    holds. Rows equal in ``order`` follow each other by a hash of their other cells, so that many of them are several ranges too.
     """
-    first = order[0]
-    if dict(df.dtypes)[first] not in ("int", "bigint", "smallint", "tinyint", "double", "float"):
-        return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) + start - 1).cast("long"))
-    cuts = F.expr(f"approx_percentile(`{first}`, array({', '.join(str(k / ranges) for k in range(1, ranges))}), 10000)")
-    bounds = df.agg(cuts.alias("_cuts"))
-    part = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: F.col(first) > c))
-    rows = df.join(F.broadcast(bounds)).withColumn("_part", part).drop("_cuts")  # one row
+    spark = df.sparkSession
+    rest = sorted(c for c, kind in df.dtypes if c not in order and "map<" not in kind and "variant" not in kind)
+    rows = df.withColumn("_key", F.struct(*order, F.xxhash64(*order, *rest).alias("_tie")))
+    n = rows.count()
+    some = rows.select("_key").sample(min(1.0, ranges * SAMPLED / max(n, 1)), seed=7).orderBy("_key").collect()
+    cuts = [some[len(some) * k // ranges]["_key"] for k in range(1, ranges)] if len(some) > ranges else [r["_key"] for r in some]
+    key = rows.schema["_key"].dataType
+    bounds = spark.createDataFrame([(cuts,)], StructType([StructField("_cuts", ArrayType(key))]))
+    part = F.size(F.filter("_cuts", lambda c: F.col("_key") > c))
+    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("_part", part).drop("_cuts")  # one row
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")  # a row for each range
-    nth = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return rows.withColumn("_nth", nth).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_nth") + F.col("_before") + start - 1).cast("long")).drop("_part", "_nth", "_before")
+    nth = F.row_number().over(W.partitionBy("_part").orderBy("_key"))
+    return rows.withColumn("_nth", nth).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_nth") + F.col("_before") + start - 1).cast("long")).drop("_part", "_nth", "_before", "_key")
 
 
 def missing_filled(df: DataFrame, column: str, *lookups: tuple[DataFrame, str, str]) -> DataFrame:

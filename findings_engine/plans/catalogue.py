@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..checks import integrity
 from ..functions import net, risk, text, url
 from ..operators import identity, merge, reports, scan, states, tracker
-from ..sources import jobboard, markdown
+from ..sources import boards, jobboard, markdown
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,9 +54,8 @@ def _risk_of(priority: str = "o_orderpriority"):
 
 @query(f"SELECT o_orderkey, o_orderstatus AS status, {_RISKS} AS risk FROM orders WHERE o_orderstatus = 'O' AND lower({_RISKS}) = 'critical' AND contains(lower(o_orderpriority), 'urg') ORDER BY o_orderkey LIMIT 100")
 def tracker_query(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), _risk_of().alias("risk"), "o_orderpriority")
-    rows = rows.filter((F.col("status") == "O") & (F.lower("risk") == "critical") & F.contains(F.lower("o_orderpriority"), F.lit("urg")))
-    return rows.orderBy("o_orderkey").limit(100).drop("o_orderpriority")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("status"), _risk_of().alias("risk"), F.col("o_orderpriority").alias("title"), F.lit("").alias("company"), F.lit("").alias("notes"), F.lit(False).alias("malformed"))
+    return tracker.find(rows, states.Catalog(), status="O", risk="critical", text="URG", limit=100).select("o_orderkey", "status", "risk")
 
 
 @query(f"SELECT {_RISKS} AS risk, count(*) AS n, sum(CASE WHEN {_RISKS} = '—' THEN 1 ELSE 0 END)::BIGINT AS sentinels FROM orders GROUP BY 1")
@@ -186,8 +185,8 @@ def dup_groups(spark, sf_dir):
 
 @query("SELECT conv_id, role, turn, rn - 1 AS occurrence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations) WHERE rn > 1")
 def dup_occurrence(spark, sf_dir):
-    nth = F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "role", "turn", (nth - 1).cast("long").alias("occurrence")).filter("occurrence > 0")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.col("turn").alias("pos"), F.struct("conv_id", "role").alias("key"))
+    return tracker.occurrences(rows, "key").select("conv_id", "role", "turn", F.col("occurrence").cast("long").alias("occurrence"))
 
 
 @query("SELECT (coalesce(max(k), 0) + 1)::BIGINT AS next_num, count(DISTINCT k) AS used FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier UNION ALL SELECT p_partkey FROM part)")
@@ -271,13 +270,13 @@ def header_field_extract(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.missing') IS NULL AS missing FROM events")
 def json_paths(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
-    return rows.select("event_id", F.try_variant_get("v", "$.k", "long").alias("k"), F.try_variant_get("v", "$.missing", "string").isNull().alias("missing"))
+    return rows.select("event_id", boards.scalar(F.col("v"), "k").cast("long").alias("k"), boards.scalar(F.col("v"), "missing").isNull().alias("missing"))
 
 
 @query("SELECT event_id, strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%S') || '.000Z' AS of_seconds, strftime(make_timestamp((1700000000123 + event_id * 977) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS of_millis FROM events")
 def epoch_iso(spark, sf_dir):
     """Times of 13 digits and more are milliseconds, others seconds."""
-    iso = lambda n: F.date_format(F.when(F.length(n.cast("string")) >= 13, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    iso = lambda n: boards.iso_time(n.cast("string"))
     return read(spark, sf_dir, "events").select("event_id", iso(F.col("event_id") + 1_700_000_000).alias("of_seconds"), iso(F.col("event_id") * 977 + 1_700_000_000_123).alias("of_millis"))
 
 
@@ -321,8 +320,9 @@ def set_subset(spark, sf_dir):
 def release_difference(spark, sf_dir):
     nations = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).count()
     rows = read(spark, sf_dir, "region").join(nations, "r_regionkey", "left")
-    ranges = rows.select((F.col("r_regionkey") * 10 + 1).alias("first"), (F.col("r_regionkey") * 10 + F.coalesce("count", F.lit(0))).cast("long").alias("last"))
-    return ranges.filter("first <> 21")
+    held = rows.select((F.col("r_regionkey") * 10 + 1).alias("start"), (F.col("r_regionkey") * 10 + F.coalesce("count", F.lit(0))).cast("long").alias("end"), F.col("r_regionkey").alias("pos"))
+    label = held.filter("pos = 2").select(F.concat_ws("-", "start", "end")).first()[0]
+    return identity.released(held, label).select(F.col("start").alias("first"), F.col("end").alias("last"))
 
 
 @query("""SELECT 1::BIGINT AS check_id, CASE WHEN count(*) FILTER (WHERE c_acctbal < 0) > 0 THEN 'error' ELSE 'ok' END AS level, count(*) FILTER (WHERE c_acctbal < 0) AS messages FROM customer
@@ -362,7 +362,8 @@ def pad_labels(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-06-01' - INTERVAL 7 DAY AS stale FROM orders")
 def stale_ranges(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderdate < TIMESTAMP_NTZ '1998-06-01' - INTERVAL 7 DAYS").alias("stale"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+    return rows.select("o_orderkey", identity.stale(rows, F.lit("1998-06-01T00:00:00Z").cast("timestamp")).alias("stale"))
 
 
 @query(f"""WITH p AS (SELECT page_id, {_URL_NORM} AS url_norm, {_HOST} AS host FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY host) AS first FROM p WHERE NOT contains(host, 'spam'))

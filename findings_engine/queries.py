@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import scale  # noqa: F401  its queries join the catalogue
 from .plans.catalogue import ORACLES, QUERIES, Query
 
 

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from findings_engine.operators import ranges, scan, terms
+from findings_engine.operators import identity, ranges, scan, terms
 from findings_engine.sources import listings
 from findings_engine.sources.numbered import numbered
 
@@ -119,3 +119,24 @@ def test_a_hundred_thousand_ranges(spark):
     found = ranges.lying_in(df, "a", table, "id", "one", "two")
     both = found.join(want, found["address"] == want["a"], "full_outer")
     assert both.filter(F.pmod(F.col("id"), F.lit(65_536)) != F.col("n")).count() == 0 and both.filter("a is null or address is null").count() == 0
+
+
+@pytest.mark.parametrize("order", [["a"], ["name", "a"], ["both", "name"], ["same"], ["maybe", "a"]])
+def test_numbers_in_any_order(spark, order):
+    """Dense numbers over texts, structs, nulls and equal keys, in many ranges."""
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 50), rng.choice(["x", "y", "é", "Z", None]), (rng.randint(0, 3), rng.choice("pq")), 1, rng.choice([None, 2.5, -1.0]), n) for n in range(3000)]
+    df = spark.createDataFrame(rows, "a int, name string, both struct<k: int, t: string>, same int, maybe double, id long").repartition(4)
+    got = sorted(identity.numbered(df, order, 5, ranges=16).collect(), key=lambda r: r.num)
+    assert [r.num for r in got] == list(range(5, 3005)) and sorted(r.id for r in got) == list(range(3000))
+
+    def place(r):
+        cells = [r[c] for c in order]
+        return [(0, 0) if c is None else (1, tuple(c) if isinstance(c, tuple) else c.encode() if isinstance(c, str) else c) for c in cells]
+
+    assert [place(r) for r in got] == sorted(place(r) for r in got)
+    assert identity.numbered(df.limit(0), order, 5).count() == 0
+    # one key of all rows is many ranges too
+    if order == ["same"]:
+        plan = identity.numbered(df, order, 5, ranges=16)
+        assert len({r.num // 100 for r in plan.collect()}) > 20
