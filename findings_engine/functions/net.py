@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 import socket
 from collections.abc import Callable
-from urllib.parse import urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import weburl
+
 # Blocked IPv4 ranges.
 BLOCKED = (
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
@@ -103,11 +105,9 @@ class Guard:
                 raise GuardError(f"{host} is at a blocked address: {a}")
 
     def check_url(self, url: str) -> None:
-        try:
-            parts = urlsplit(url)
-            host = parts.hostname or ""
-        except ValueError as error:
-            raise GuardError(f"no URL: {url}") from error
-        if parts.scheme.lower() not in ("http", "https"):
-            raise GuardError(f"neither http nor https: {url}")
+        u = weburl.parsed(url or "")
+        if u is None:
+            kind = "no URL" if re.match("(?i)https?:", url or "") else "neither http nor https"
+            raise GuardError(f"{kind}: {url}")
+        host = u.host.strip("[]")
         self.check_host(host)

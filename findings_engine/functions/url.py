@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import parse_qsl, quote_plus, urlsplit
+from urllib.parse import parse_qsl, quote_plus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import weburl
 from .text import WHITE_SPACE, slug, trimmed
 
 # Beginnings of keys, and keys, of parameters that only track.
@@ -62,63 +63,32 @@ def _fast(url: Column) -> Column:
     return F.when(job != "", F.concat(F.regexp_replace(href, "/\\z", ""), F.lit("/#/job/"), job)).otherwise(href)
 
 
-def _number(part: str) -> int:
-    """A part of a numeric host: decimal, octal with a leading zero, or hexadecimal. ValueError if it is none."""
-    if part.lower().startswith("0x"):
-        return int(part[2:] or "0", 16)
-    return int(part, 8) if len(part) > 1 and part.startswith("0") else int(part)
-
-
-def _host_of(name: str) -> str:
-    """The host as browsers have it: IDNs in ASCII, and hosts whose last part is a number as dotted IPv4 (ValueError if out of range)."""
-    host = name if name.isascii() else name.encode("idna").decode()
-    parts = host.removesuffix(".").split(".")
-    if not re.fullmatch(r"[0-9]+|0[xX][0-9a-fA-F]*", parts[-1]):
-        return host
-    numbers = [_number(p) for p in parts]
-    if len(numbers) > 4 or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
-        raise ValueError(f"no address: {name}")
-    value = numbers[-1] + sum(n << (8 * (3 - k)) for k, n in enumerate(numbers[:-1]))
-    return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
-
-
 def normalized_text(raw: str | None) -> str | None:
     """The same for any text, row by row; what is no http(s) URL is lower-cased."""
     if raw is None:
         return None
     text = re.sub(f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "", raw)
-    if not re.match("(?i)https?://", text):
+    u = weburl.parsed(text) if re.match("(?i)https?://", text) else None
+    if u is None:
         return text.lower()
-    try:
-        u = urlsplit(text.replace("\\", "/"))
-        host, port = _host_of(u.hostname or ""), u.port
-    except (ValueError, UnicodeError):
-        return text.lower()
-    if not host:
-        return text.lower()
-    scheme = u.scheme.lower()
-    user = f"{u.username or ''}{':' + u.password if u.password else ''}@" if u.username or u.password else ""
-    at = "" if port in (None, {"http": 80, "https": 443}[scheme]) else f":{port}"
-    parts: list[str] = []
-    pieces = u.path.split("/")[1:]
-    for n, p in enumerate(pieces):
-        if (dots := p.lower().replace("%2e", ".")) in (".", ".."):
-            parts = parts[:-1] if dots == ".." else parts
-            parts += [""] * (n == len(pieces) - 1)
-        else:
-            parts.append("".join(c if "!" <= c <= "~" and c not in "\"<>`{}^" else "".join(f"%{b:02X}" for b in c.encode()) for c in p))
-    path = "/" + "/".join(parts)
     keep = [(k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if not (k.lower() in TRACKING_KEYS or k.lower().startswith(TRACKING_PREFIXES))]
-    keep.sort(key=lambda kv: kv[0])
+    keep.sort(key=lambda kv: kv[0].encode("utf-16-be", "replace"))
     form = lambda x: quote_plus(x, safe="*-._").replace("~", "%7E")
-    query = "&".join(f"{form(k)}={form(v)}" for k, v in keep)
-    if len(path) > 1:
-        path = path.rstrip("/") or "/"
-    href = f"{scheme}://{user}{host}{at}{path}{'?' + query if query else ''}"
+    path = u.path.rstrip("/") or "/" if len(u.path) > 1 else u.path
+    href = u.written(path, "&".join(f"{form(k)}={form(v)}" for k, v in keep))
     job = re.match("/jobs?/([A-Za-z0-9-]+)", u.fragment)
     return f"{href.removesuffix('/')}/#/job/{job[1]}" if job else href
 
 
+def host_text(raw: str | None) -> str | None:
+    """The host that ``normalized_text`` has, brackets of IPv6 included; of other texts what stands before the first slash."""
+    if raw is None:
+        return None
+    text = re.sub(f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "", raw)
+    u = weburl.parsed(text) if re.match("(?i)https?:", text) else None
+    return u.host if u else "" if re.match("(?i)https?:", text) else text.split("/", 1)[0].lower()
+
+
 @F.pandas_udf(StringType())
 def _slow(url: pd.Series) -> pd.Series:
     return url.map(normalized_text, na_action="ignore")
@@ -130,12 +100,16 @@ def identity(url: Column, title: Column, source: Column) -> Column:
     return F.when(F.rlike(url, F.lit("(?i)^https?://")), F.concat(F.lit("url:"), normalized(trimmed(url)))).otherwise(by_title)
 
 
+@F.pandas_udf(StringType())
+def _slow_host(url: pd.Series) -> pd.Series:
+    return url.map(host_text, na_action="ignore")
+
+
 def host(url: Column) -> Column:
-    """The host in lower case, without user and port; of a text that is no http(s) URL what stands before its first slash."""
-    cell = trimmed(url)
-    authority = F.regexp_extract(cell, r"(?i)^https?:[\\/]*([^/?#\\]*)", 1)
-    named = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":[0-9]*\z", "")
-    return F.lower(F.when(F.rlike(cell, F.lit("(?i)^https?://")), named).otherwise(F.substring_index(cell, "/", 1)))
+    """The host as the identity has it; empty for what begins like an http(s) URL and is none, and else what stands before the first slash."""
+    plain = _is_plain(trimmed(url))
+    authority = F.regexp_extract(trimmed(url), r"^https?://([^/?#]*)", 1)
+    return F.when(plain, F.lower(authority)).otherwise(_slow_host(F.when(~plain, url)))
 
 
 def has_suffix(h: Column, suffix: str) -> Column:

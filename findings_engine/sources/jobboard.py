@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..functions import weburl
 from ..functions.net import Guard, GuardError
+from ..functions.url import host_text
 from ..sinks.committed import keep_first, store_of
 from . import boards
 
@@ -109,11 +111,8 @@ def _component(text: str) -> str:
 
 
 def host_of(url: str) -> str:
-    text = (url or "").strip()
-    try:
-        return (urlsplit(text).hostname or "") if re.match("(?i)https?://", text) else text.split("/")[0].lower()
-    except ValueError:
-        return ""
+    """The host that the URL's identity has, as text."""
+    return host_text(url or "") or ""
 
 
 def under(host: str, suffix: str) -> bool:
@@ -187,6 +186,12 @@ def retryable(error: BaseException) -> bool:
     return isinstance(reason, (TimeoutError, OSError)) and not isinstance(reason, urllib.error.HTTPError) and bool(isinstance(reason, TimeoutError) or re.search("(?i)timed? ?out|getaddrinfo|name resolution|unreachable|not known", str(reason)))
 
 
+def asked_at(url: str) -> str:
+    """The URL as it is asked for: with the very host that the guard looks up."""
+    u = weburl.parsed(url)
+    return u.written(query=weburl.encoded(u.query, weburl.QUERY)) if u else url
+
+
 @dataclass
 class Transport:
     """Asks for a URL behind the guard; retries on 429 and passing failures if told to."""
@@ -202,7 +207,7 @@ class Transport:
         while True:
             try:
                 self.guard.check_url(url)
-                response = self.request(url, timeout, {"user-agent": self.agent}, method)
+                response = self.request(asked_at(url), timeout, {"user-agent": self.agent}, method)
             except Exception as error:
                 if attempt >= retries or not retryable(error):
                     raise
