@@ -48,11 +48,12 @@ def parser() -> argparse.ArgumentParser:
     add("evaluate", "dry-run", indicators="", final_decision="", next_action="").add_argument("selector")
     held = add("reserve", count=None, release=None)
     held.set_defaults(count=None)
-    add("check", "fix")
+    add("check", "fix", providers_dir=None)
     add("reports")
     add("archive")
-    add("portals", "live")
+    add("portals", "live", providers_dir=None)
     add("doctor")
+    add("init")
     return p
 
 
@@ -77,11 +78,12 @@ def run(spark, a: argparse.Namespace) -> tuple[dict, int]:
         "links": lambda: workspace.fix_links(spark, w, dry),
         "evaluate": lambda: workspace.evaluate(spark, w, a.selector, a.indicators, a.final_decision, a.next_action, dry),
         "reserve": lambda: workspace.release(spark, w, a.release) if a.release else workspace.reserve(spark, w, int(a.count or 1)),
-        "check": lambda: workspace.run_checks(spark, w, a.states, a.fix),
+        "check": lambda: workspace.run_checks(spark, w, a.states, a.fix, a.providers_dir),
         "reports": lambda: workspace.run_report_checks(spark, w),
         "archive": lambda: workspace.run_archive_checks(spark, w),
-        "portals": lambda: workspace.check_portals(w, a.live),
-        "doctor": lambda: workspace.doctor(w),
+        "portals": lambda: workspace.check_portals(w, a.live, folder=a.providers_dir),
+        "doctor": lambda: {**workspace.doctor(w), "onboarding": workspace.onboarding(w)},
+        "init": lambda: workspace.init(w),
     }
     if a.command == "reserve" and a.release and a.count:
         return {"ok": False, "error": "numbers are either reserved or released"}, USAGE

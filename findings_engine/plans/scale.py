@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import identity, ranges, terms, transitions
+from ..operators import identity, paths, ranges, terms, transitions
 from ..operators.states import Catalog
 from ..sinks import committed
 from ..sources.numbered import numbered
@@ -138,3 +138,25 @@ def numbers_by_text(spark, sf_dir):
     """Dense numbers in an order of texts first, of which there are few."""
     rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     return identity.numbered(rows, ["o_orderpriority", "o_orderstatus", "o_orderkey"], 100).select("o_orderkey", "num")
+
+
+# -- paths and templates --------------------------------------------------------------------------------------------
+_FOLDERS = r"array_to_string(list_filter(string_split(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/'), lambda x: x NOT IN ('', '.')), '/')"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT page_id % 2 AS side, {_FOLDERS} AS path FROM pages), l AS (SELECT path AS a FROM p WHERE side = 0 AND path <> ''), r AS (SELECT path AS b FROM p WHERE side = 1 AND path <> ''), u AS (SELECT DISTINCT string_split(path, '/')[1] AS top FROM p WHERE path <> '')
+SELECT a, b, CASE WHEN a = b THEN 'same' WHEN starts_with(a, b || '/') THEN 'left' ELSE 'right' END AS inside FROM (SELECT a FROM l UNION SELECT top FROM u) l, r WHERE a = b OR starts_with(a, b || '/') OR starts_with(b, a || '/')""")
+def path_overlaps(spark, sf_dir):
+    """Places of pages with even numbers, and all hosts, against those of odd ones: which lie in which."""
+    rows = read(spark, sf_dir, "pages").select("page_id", paths.plain(F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)).alias("path"))
+    tops = rows.filter("path <> ''").select(F.split("path", "/")[0].alias("a"))
+    left = rows.filter("page_id % 2 = 0").select(F.col("path").alias("a")).unionByName(tops).distinct()
+    return paths.overlapping(left, "a", rows.filter("page_id % 2 = 1").select(F.col("path").alias("b")), "b")
+
+
+@query("WITH t AS (SELECT source, arg_min(text, doc_id) AS text FROM documents GROUP BY 1) SELECT doc_id FROM documents d JOIN t ON d.source = t.source AND d.text = t.text")
+def unchanged_texts(spark, sf_dir):
+    """Documents that hold what the first one of their source does."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.col("text").alias("content"))
+    templates = docs.groupBy("path").agg(F.min_by("content", "doc_id").alias("content"))
+    return paths.unchanged(docs, templates).select("doc_id")

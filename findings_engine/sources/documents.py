@@ -43,6 +43,16 @@ USER_PATHS = ("config/profile.yml", "modes/_profile.md", "modes/_custom.md", "po
 TRACKER, OLD_TRACKER = "data/findings.md", "findings.md"
 
 
+# The files that a user is to make their own, and whether a new workspace gets them at once.
+OWN = (("config/profile.yml", False), ("modes/_profile.md", True), ("modes/_custom.md", True))
+#: What each of them begins as; a text that still is this one says nothing of the user.
+TEMPLATES = {
+    "config/profile.yml": "# Who is looking, and for what.\nname: \nlocation: \nroles: []\n",
+    "modes/_profile.md": "# Profile\n\nWhat a posting has to offer, and what rules one out.\n",
+    "modes/_custom.md": "# Own rules\n\nRules of yours that go before the usual ones.\n",
+}
+
+
 def is_user_path(relative: str) -> bool:
     """Whether a path under the workspace is the user's own, which no update may touch."""
     posix = relative.replace(os.sep, "/")

@@ -239,22 +239,23 @@ def release(spark: SparkSession, w: Workspace, label: str) -> dict:
         return {"ok": True, "label": label}
 
 
-def inputs(spark: SparkSession, w: Workspace, catalog: states.Catalog) -> integrity.Inputs:
+def inputs(spark: SparkSession, w: Workspace, catalog: states.Catalog, folder: str | None = None) -> integrity.Inputs:
+    """What the checks are given; boards of a ``folder`` of modules are known boards."""
     try:
         entries = documents.entries_table(spark, documents.portal_entries(documents.load_yaml(w.portals))) if os.path.exists(w.portals) else documents.entries_table(spark, [])
     except ValueError:
         entries = None
     captures = listings.files(spark, w.captures) if os.path.isdir(w.captures) else None
-    return integrity.Inputs(_rows(spark, w), os.path.dirname(w.tracker), listings.reports(spark, w.reports), listings.additions(spark, w.additions), listings.lines(spark, w.status_log), listings.reservations(spark, w.reservations), entries, captures, tuple(jobboard.SEEDS), catalog)
+    return integrity.Inputs(_rows(spark, w), os.path.dirname(w.tracker), listings.reports(spark, w.reports), listings.additions(spark, w.additions), listings.lines(spark, w.status_log), listings.reservations(spark, w.reservations), entries, captures, plugins.discover(folder).names(), catalog)
 
 
-def run_checks(spark: SparkSession, w: Workspace, states_file: str | None = None, fix: bool = False) -> dict:
+def run_checks(spark: SparkSession, w: Workspace, states_file: str | None = None, fix: bool = False, folder: str | None = None) -> dict:
     """The levels and messages of all checks. A catalogue that is wrong is the only finding, of check 0."""
     try:
         catalog = states.load(states_file) if states_file else states.Catalog()
     except (states.CatalogError, OSError, ValueError) as error:
         return {"ok": False, "errors": 1, "warnings": 0, "checks": [{"check_id": 0, "name": "states configuration", "level": "error", "messages": [str(error)]}]}
-    x = inputs(spark, w, catalog)
+    x = inputs(spark, w, catalog, folder)
     checks = [r.asDict() for r in integrity.rollup(integrity.findings(x)).orderBy("check_id").collect()]
     if fix:
         for c in checks:
@@ -280,14 +281,15 @@ def run_archive_checks(spark: SparkSession, w: Workspace) -> dict:
     return {"ok": all(r["problem"] is None for r in rows), "rows": rows}
 
 
-def check_portals(w: Workspace, live: bool = False, transport: jobboard.Transport | None = None) -> dict:
-    """What is wrong with the portals document; with ``live`` also what each entry's URL shows."""
+def check_portals(w: Workspace, live: bool = False, transport: jobboard.Transport | None = None, folder: str | None = None) -> dict:
+    """What is wrong with the portals document, whose boards may be those of a ``folder``; with ``live`` also what each entry's URL shows."""
+    known = plugins.discover(folder)
     if not os.path.exists(w.portals):
         return {"ok": False, "problems": ["there is no document of portals"], "rows": []}
     document = documents.load_yaml(w.portals)
-    problems = documents.entry_problems(document, lambda e: jobboard.board_of(e) is not None)
+    problems = documents.entry_problems(document, lambda e: known.board_of(e) is not None)
     entries = documents.portal_entries(document)
-    lost = [str(e.get("name") or "") for e in entries if e.get("enabled") is not False and jobboard.board_of(e) is None]
+    lost = [str(e.get("name") or "") for e in entries if e.get("enabled") is not False and known.board_of(e) is None]
     probe = (transport or jobboard.Transport()).probe
     rows = [{"name": e.get("name"), "url": e.get("url"), "status": probe(e.get("url"))} for e in entries] if live else []
     return {"ok": not problems and all(r["status"] in ("ok", "redirect", "no-target") for r in rows), "problems": problems, "without_board": lost, "rows": rows}
@@ -304,3 +306,28 @@ def doctor(w: Workspace) -> dict:
             except ValueError as error:
                 broken.append(f"{p}: {error}")
     return {"ok": not broken, "missing": missing, "broken": broken}
+
+
+def onboarding(w: Workspace) -> dict:
+    """Which of the files that a user is to make their own are missing, and which still are as they were made."""
+    missing, unpersonalized = [], []
+    for p, _ in documents.OWN:
+        if not os.path.exists(w.path(p)):
+            missing.append(p)
+            continue
+        with open(w.path(p), encoding="utf-8", errors="replace") as f:
+            if f.read() == documents.TEMPLATES[p]:
+                unpersonalized.append(p)
+    return {"needed": bool(missing or unpersonalized), "to_make": missing, "unpersonalized": unpersonalized}
+
+
+def init(w: Workspace) -> dict:
+    """Make the files that a new workspace gets at once, and an empty tracker, where they are missing. Nothing that is there is touched."""
+    made = []
+    for p, at_once in documents.OWN:
+        if at_once and not os.path.exists(w.path(p)):
+            sinks.write_atomically(w.path(p), documents.TEMPLATES[p])
+            made.append(p)
+    if sinks.new_tracker(w.tracker_to_write):
+        made.append(os.path.relpath(w.tracker_to_write, w.path()))
+    return {"ok": True, "made": made}

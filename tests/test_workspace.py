@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from findings_engine import __main__ as cli
 from findings_engine import workspace as commands
-from findings_engine.operators import identity, reports, states, tracker
+from findings_engine.operators import identity, paths, reports, states, tracker
 from findings_engine.sinks import committed
 from findings_engine.sinks import files as sinks
 from findings_engine.sources import documents, jobboard, listings, plugins
@@ -421,6 +421,40 @@ def test_portals(place):
     assert commands.doctor(place.w) == {"ok": True, "missing": ["data/findings.md", "config/profile.yml"], "broken": []}
 
 
+def test_onboarding(place):
+    assert commands.onboarding(place.w) == {"needed": True, "to_make": ["config/profile.yml", "modes/_profile.md", "modes/_custom.md"], "unpersonalized": []}
+    assert commands.init(place.w)["made"] == ["modes/_profile.md", "modes/_custom.md", "data/findings.md"] and commands.init(place.w)["made"] == []
+    write(place.root / "config/profile.yml", "name: A\n")
+    assert commands.onboarding(place.w) == {"needed": True, "to_make": [], "unpersonalized": ["modes/_profile.md", "modes/_custom.md"]}
+    write(place.root / "modes/_profile.md", "mine")
+    write(place.root / "modes/_custom.md", "mine too")
+    assert commands.onboarding(place.w) == {"needed": False, "to_make": [], "unpersonalized": []} and commands.init(place.w)["made"] == []
+    assert (place.root / "modes/_custom.md").read_text() == "mine too"
+
+
+def test_boards_of_a_folder_are_known_to_the_checks(spark, place):
+    folder = place.root / "boards"
+    write(folder / "stub.py", PLUGIN.format(name="stub", seed='("fixed", "https://stub.example/")'))
+    portals(place, {"name": "A", "integration": "stub", "url": "https://stub.example/x"})
+    assert commands.check_portals(place.w)["without_board"] == [] or commands.check_portals(place.w)["problems"]
+    assert commands.check_portals(place.w, folder=str(folder)) == {"ok": True, "problems": [], "without_board": [], "rows": []}
+    place.rows()
+    assert 15 in levels(spark, place)[0] and 15 not in levels(spark, place, folder=str(folder))[0]
+
+
+def test_paths_inside_others(spark):
+    one = spark.createDataFrame([("data",), ("a/b/",), ("./a//c",), ("x/y/z",), ("ab",), (None,), ("",)], "p string")
+    two = spark.createDataFrame([("data/x.md",), ("a",), ("a/b",), ("x/y/zz",), ("/",), ("ab",)], "q string")
+    got = {tuple(r) for r in paths.overlapping(one, "p", two, "q").collect()}
+    assert got == {("data", "data/x.md", "right"), ("a/b/", "a", "left"), ("a/b/", "a/b", "same"), ("./a//c", "a", "left"), ("ab", "ab", "same")}
+    # what an update may touch and what is the user's own don't overlap
+    own, system = (spark.createDataFrame([(x,) for x in found], "p string") for found in (documents.USER_PATHS, ("findings_engine", "tests", "README.md", "modes/scan.md", "config/states.yml")))
+    assert paths.overlapping(own, "p", system, "p").count() == 0
+    files = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), ("d", "")], "path string, content string")
+    kept = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None), ("d", None)], "path string, content string")
+    assert sorted(r.path for r in paths.unchanged(files, kept).collect()) == ["a", "c"]
+
+
 def test_catalogue(spark):
     assert CATALOG.resolve(" Follow-UP ") == "Followup" and CATALOG.resolve("x") is None
     assert CATALOG.table(spark).filter("requires_report").select("name").distinct().count() == 4
