@@ -39,11 +39,14 @@ def normalized(url: Column) -> Column:
     return F.when(plain, _fast(url)).otherwise(_slow(F.when(~plain, url)))  # the vectorised function gets nulls for plain ones
 
 
-def with_normalized(df: DataFrame, column: str, name: str) -> DataFrame:
-    """The rows with the identity of a URL. Plain URLs stay in SQL; only the others are sent to the vectorised function."""
+def with_normalized(df: DataFrame, column: str, name: str, host_name: str | None = None) -> DataFrame:
+    """The rows with the identity of a URL, and its host if that is named. Plain URLs stay in SQL; only the others are sent to the vectorised functions."""
     url = trimmed(F.col(column))
     plain = F.coalesce(_is_plain(url), F.lit(True))
-    return df.filter(plain).withColumn(name, _fast(url)).unionByName(df.filter(~plain).withColumn(name, _slow(url)))
+    one, other = df.filter(plain).withColumn(name, _fast(url)), df.filter(~plain).withColumn(name, _slow(url))
+    if host_name:
+        one, other = one.withColumn(host_name, F.lower(F.regexp_extract(url, r"^https?://([^/?#]*)", 1))), other.withColumn(host_name, _slow_host(F.col(column)))
+    return one.unionByName(other)
 
 
 def _fast(url: Column) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 from ..checks import integrity
 from ..functions import net, risk, text, url
 from ..operators import identity, merge, reports, scan, states, tracker
-from ..sources import boards, jobboard, markdown
+from ..sources import boards, jobboard, listings, markdown
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +35,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dropped(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may be over; its folder goes with it
+        listings.remove(spark, path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or a local one where all runs on this machine; it goes when the driver's process ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_dropped, spark, path)
+    return path
+
+
 # Fixed values of these queries: which indicator an event stands for, and filters.
 EVENT_CODES = {"error": "C1", "purchase": "H1", "signup": "M1", "view": "M2", "click": "L1"}
 TITLE_TERMS, LOCATION_TERMS = ("ring", "WIDGET"), ("promo",)
@@ -115,8 +138,13 @@ s AS (SELECT page_id, f.url_norm, f.host, CASE WHEN page_id % 11 = 3 THEN 'inval
 
 
 def _scanned(spark, sf_dir):
-    """All pages as postings of entries, each with terms of its own; every seventh page's URL is known to the entries of even pages."""
-    pages = url.with_normalized(read(spark, sf_dir, "pages").select("page_id", "url", url.host(F.col("url")).alias("host"), F.regexp_extract("url", "^https?://[^/]*(/[^?#]*)", 1).alias("path")), "url", "url_norm")
+    """All pages as postings of entries, each with terms of its own; every seventh page's URL is known to the entries of even pages.
+
+    URLs are taken apart once, and what they give is written down: a scan reads its postings for their first places and again for their status.
+    """
+    at = scratch(spark, "pages")
+    url.with_normalized(read(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://[^/]*(/[^?#]*)", 1).alias("path")), "url", "url_norm", "host").drop("url").write.parquet(at)
+    pages = spark.read.schema("page_id long, path string, url_norm string, host string").parquet(at)
     even = F.col("page_id") % 2 == 0
     seen = pages.filter("page_id % 7 = 0").select(F.concat(F.lit("0"), "url_norm").alias("key"))
     terms = F.array(F.when(F.col("page_id") % 3 == 0, "/de/").otherwise("/fr/"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,17 +11,7 @@ from ..operators.states import Catalog
 from ..sinks import committed
 from ..sources.numbered import numbered
 from ..streaming import history, stateful
-from .catalogue import query, read
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a local one where all runs on this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        shared = "/tmp/checkpoints"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .catalogue import query, read, scratch
 
 
 # -- the log of states --------------------------------------------------------------------------------------
