@@ -397,10 +397,10 @@ def stale_ranges(spark, sf_dir):
 @query(f"""WITH p AS (SELECT page_id, {_URL_NORM} AS url_norm, {_HOST} AS host FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY host) AS first FROM p WHERE NOT contains(host, 'spam'))
 SELECT page_id, url_norm, host, row_number() OVER (ORDER BY page_id) AS num FROM f WHERE page_id = first""")
 def staged_pipeline(spark, sf_dir):
-    """Filter, first of each host by one aggregation, identities of those that are left, numbers by ranges."""
-    rows = read(spark, sf_dir, "pages").select("page_id", "url", url.host(F.col("url")).alias("host")).filter(~F.contains("host", F.lit("spam")))
-    new = rows.groupBy("host").agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url"))
-    return identity.numbered(url.with_normalized(new, "url", "url_norm"), ["page_id"], 1).select("page_id", "url_norm", "host", "num")
+    """Identities and hosts at once, a filter, the first of each host by one aggregation, numbers by ranges."""
+    rows = url.with_normalized(read(spark, sf_dir, "pages").select("page_id", "url"), "url", "url_norm", "host").filter(~F.contains("host", F.lit("spam")))
+    new = rows.groupBy("host").agg(F.min("page_id").alias("page_id"), F.min_by("url_norm", "page_id").alias("url_norm"))
+    return identity.numbered(new, ["page_id"], 1).select("page_id", "url_norm", "host", "num")
 
 
 # -- a tracker made of orders: cells of every kind that rules and checks tell apart -----------------------
