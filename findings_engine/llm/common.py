@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +101,17 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key, F.lit(20)), key).limit(rows)
 
 
+def forget() -> None:
+    """Drop the vocabularies that another operator's tasks left in this worker, and give their memory back to the machine."""
+    held = [m.load for name in ("byte_vocab", "merge_vocab") if (m := sys.modules.get(f"{__package__}.{name}")) and m.load.cache_info().currsize]
+    for load in held:
+        load.cache_clear()
+    if held:
+        gc.collect()
+        with suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches, rows: int = PIECE_ROWS):
     """The batches in pieces, so that a worker holds the Python values of a few rows at a time."""
     for batch in batches:

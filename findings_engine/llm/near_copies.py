@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import free_name, pieces, written
+from .common import forget, free_name, pieces, written
 from .components import roots
 from .simhash import BUDGET, SEED, links
 
@@ -122,6 +122,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key of the words, n_bytes, and the fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
             prints = [word_fingerprints(t) for t in texts]

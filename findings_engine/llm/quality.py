@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, pieces, table, written
+from .common import bounded_sample, forget, held_out, pieces, table, written
 from .logistic import Logistic, fit, newton_step, sums
 
 TRAIN_ROWS = 6_000
@@ -156,6 +156,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta
     """id and ``views``: both views' numbers (single precision, little-endian), the text's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             rows = _of(batch, text_col, meta).astype("<f4")
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "views"])
@@ -237,6 +238,7 @@ def keep(df: DataFrame, model: Model, text_col: str = "text", meta: tuple[str, s
     """The rows, unchanged, that score at least the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches):
             yield batch.filter(pa.array(model.probability(*_split(_of(batch, text_col, meta))) >= threshold))
 
