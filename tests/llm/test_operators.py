@@ -192,6 +192,24 @@ def test_secrets_beside_others(spark):
     assert [s.k for s in rows[6].found] == [2] and rows[7].found == []
 
 
+def test_tokens_of_an_empty_table(docs):
+    for rule in token_counts.RULES:
+        assert token_counts.count_tokens(docs.limit(0), BYTES, rule=rule).count() == 0
+
+
+def test_quality_keeps_what_it_predicts(spark):
+    """A model keeps the very rows that it predicts to be good, and one that has learned from no rows treats all alike."""
+    rng = np.random.default_rng(9)
+    words = {0: ["bad%%", "junk%%", "zz%%"], 1: ["plain", "words", "make"]}
+    rows = [(i, " ".join(rng.choice(words[i % 2], 40)), "en", f"s{i % 3}", 200) for i in range(200)] + [(500, None, None, None, None), (501, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = quality.train_on(df, spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int"))
+    kept = {r.doc_id for r in quality.keep(df, model).collect()}
+    assert kept == {r.doc_id for r in quality.score(df, model).collect() if r.predicted == 1} and {i for i in range(200) if i % 2} <= kept and not kept & {i for i in range(200) if not i % 2}
+    blank = quality.train_on(df.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert len({r.predicted for r in quality.score(df, blank).collect()}) == 1
+
+
 def test_quality(spark):
     rng = np.random.default_rng(5)
     good = [" ".join(rng.choice(["plain", "words", "make", "a", "text", "of", "lines"], 60)) for _ in range(150)]
