@@ -113,7 +113,7 @@ def pending(x: Inputs) -> DataFrame:
     none = F.array().cast("array<string>")
     bound = F.coalesce(F.col("bound"), F.lit(False)) if "bound" in x.additions.columns else F.size("errors") == 0
     said = F.concat("errors", F.when(bound, tracker.validate(x.catalog)).otherwise(none))
-    place = F.xxhash64("name").bitwiseAND(F.lit(0))  # the names order them; ord only keeps a file's messages in order
+    place = F.lit(0).cast("long")  # the names order them; a file's messages keep their own order
     return _each(x.additions, 6, F.transform(said, lambda m: F.concat("name", F.lit(": "), m)), place)
 
 
