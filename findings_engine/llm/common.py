@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,9 +108,15 @@ def forget() -> None:
     for load in held:
         load.cache_clear()
     if held:
-        gc.collect()
-        with suppress(AttributeError, OSError):  # other C libraries have no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Give the memory that this worker doesn't use any more back to the machine; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(batches, rows: int = PIECE_ROWS):
