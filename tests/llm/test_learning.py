@@ -148,6 +148,24 @@ def test_no_number_of_terms_is_a_cap():
     assert set(words) <= terms
 
 
+def test_few_labelled_rows_rank_too():
+    """Six toxic rows of 56 are too few for a term; words that two of them share still tell others like them."""
+    r = random.Random(8)
+    bad = ["idiot", "worthless", "scum", "loser", "moron", "trash"]
+    word = lambda: "".join(r.choice("aeiou") + r.choice("bcdfghklmnprst") for _ in range(r.randint(1, 4)))
+    text = lambda own: " ".join(sorted([word() for _ in range(60)] + own, key=lambda w: r.random()))
+    model = toxicity.train([(text([bad[k], bad[k - 1]]), 1) for k in range(6)] + [(text([]), 0) for _ in range(50)])
+    assert model.terms == []
+    x = lambda own, n: model.regression.probability(np.array([model.scanner().features(text(own())) for _ in range(n)]))
+    toxic, clean = x(lambda: r.sample(bad, 3), 40), x(list, 40)
+    assert (toxic[:, None] > clean[None, :]).mean() + (toxic[:, None] == clean[None, :]).mean() / 2 > 0.9
+
+
+def test_hints_leave_a_training_row_out():
+    hints = toxicity.Hints({"scum": (3, 0), "rare": (2, 0)}, 10, 400)
+    assert hints.weight({"rare", "x"}) > 0 == hints.weight({"rare", "x"}, 1) and hints.weight({"scum"}) > hints.weight({"scum"}, 1) > 0
+
+
 def test_quotations():
     t = 'he "said so and\nso" and “x y” it\'s "open\n\n and "closed" «a» 5" by 6" b'
     assert [t[a : b + 1] for a, b in toxicity.quotations(t)] == ['"said so and\nso"', "“x y”", '"closed"', "«a»"]
