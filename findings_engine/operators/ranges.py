@@ -84,20 +84,39 @@ def masked(hi: Column, lo: Column, family: int, bits: int) -> tuple[Column, Colu
     return hi.bitwiseAND(F.lit(h).cast("long")), lo.bitwiseAND(F.lit(low).cast("long"))
 
 
-def lying_in(addresses: DataFrame, column: str, ranges: DataFrame, id_col: str, first: str, last: str) -> DataFrame:
-    """(address, id, bits): each distinct address of the column with every range that holds it, and how long the range's prefix is that does."""
-    table = prefixes(ranges, id_col, first, last)
-    lengths = table.select("family", "bits").distinct().collect()  # 33 + 129 rows at most
+_PREFIX = ["family", "bits", "hi", "lo"]
+
+
+def _met(addresses: DataFrame, column: str, table: DataFrame, cut: DataFrame) -> DataFrame:
+    """Each distinct address of the column beside the table's rows of prefixes that it has; ``cut``: all those prefixes."""
+    lengths = cut.select("family", "bits").distinct().collect()  # 33 + 129 rows at most
     given = addresses.select(F.col(column).alias("address")).distinct().withColumn("at", address(F.col("address"))).filter("at is not null").select("address", "at.*")
     if not lengths:
-        return given.select("address", F.lit(None).cast(dict(table.dtypes)["id"]).alias("id"), F.lit(0).cast("long").alias("bits")).limit(0)
+        return given.select("address", *(F.lit(None).cast(kind).alias(name) for name, kind in table.dtypes)).limit(0)
     tries = [F.struct(F.lit(r.family).alias("family"), F.lit(r.bits).alias("bits"), *(c.alias(n) for c, n in zip(masked(F.col("hi"), F.col("lo"), r.family, r.bits), ("hi", "lo"), strict=True))) for r in sorted(lengths)]
     own = F.filter(F.array(*tries), lambda x: x["family"] == F.col("family"))
     each = given.select("address", F.explode(own).alias("x")).select("address", "x.*")
-    return each.join(table, ["family", "bits", "hi", "lo"]).select("address", "id", "bits")
+    return each.join(table, _PREFIX)
+
+
+def lying_in(addresses: DataFrame, column: str, ranges: DataFrame, id_col: str, first: str, last: str) -> DataFrame:
+    """(address, id, bits): each distinct address of the column with every range that holds it, and how long the range's prefix is that does."""
+    table = prefixes(ranges, id_col, first, last)
+    return _met(addresses, column, table, table).select("address", "id", "bits")
+
+
+def summed_up(addresses: DataFrame, column: str, ranges: DataFrame, id_col: str, first: str, last: str) -> DataFrame:
+    """(address, n, first, last): how many ranges hold each distinct address that lies in one, the least and the largest id among them.
+
+    Ranges are summed up by prefix before they meet the addresses, so that an address meets a row for each length of prefix at most, however
+    many ranges hold it. A range's prefixes share no address, so none is counted twice.
+    """
+    cut = prefixes(ranges, id_col, first, last)
+    table = cut.groupBy(*_PREFIX).agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+    return _met(addresses, column, table, cut).groupBy("address").agg(F.sum("n").alias("n"), F.min("least").alias("first"), F.max("most").alias("last"))
 
 
 def most_specific(addresses: DataFrame, column: str, ranges: DataFrame, id_col: str, first: str, last: str) -> DataFrame:
     """(address, id): the range with the longest fitting prefix for each distinct address that lies in one; the least id of equally long ones."""
-    found = lying_in(addresses, column, ranges, id_col, first, last)
-    return found.groupBy("address").agg(F.min(F.struct(-F.col("bits"), "id"))["id"].alias("id"))
+    cut = prefixes(ranges, id_col, first, last)
+    return _met(addresses, column, cut.groupBy(*_PREFIX).agg(F.min("id").alias("id")), cut).groupBy("address").agg(F.min(F.struct(-F.col("bits"), "id"))["id"].alias("id"))

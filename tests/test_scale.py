@@ -101,6 +101,17 @@ def test_addresses_in_ranges(spark):
     assert ranges.lying_in(df, "a", table.limit(0), "k", "one", "two").count() == 0
 
 
+def test_ranges_that_hold_all_addresses_are_summed_up_first(spark):
+    """20,000 ranges around 20,000 addresses: 400 million pairs, which are never made."""
+    df = spark.range(20_000).select(F.format_string("10.0.%d.%d", F.floor(F.col("id") / 256), F.col("id") % 256).alias("a"))
+    table = spark.range(20_000).select("id", F.lit("10.0.0.0").alias("one"), F.format_string("10.0.255.%d", F.col("id") % 256).alias("two")).union(spark.createDataFrame([(-1, "10.0.0.3", "10.0.0.4"), (None, "10.0.0.3", "10.0.0.3")], "id long, one string, two string"))
+    began = time.perf_counter()
+    got = {r.address: (r.n, r.first, r.last) for r in ranges.summed_up(df, "a", table, "id", "one", "two").collect()}
+    assert time.perf_counter() - began < 60 and len(got) == 20_000
+    assert (got["10.0.0.3"], got["10.0.0.4"], got["10.0.0.5"]) == ((20_002, -1, 19_999), (20_001, -1, 19_999), (20_000, 0, 19_999))
+    assert ranges.summed_up(df, "a", table.limit(0), "id", "one", "two").count() == 0
+
+
 def test_a_range_is_cut_into_the_fewest_prefixes():
     for width, first, last in ((32, 0, 2**32 - 1), (32, 1, 2**32 - 2), (128, 1, 2**128 - 2), (32, 5, 5), (32, 6, 3), (4, 3, 12)):
         parts = list(ranges.cut(first, last, width))
