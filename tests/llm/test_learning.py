@@ -66,6 +66,19 @@ def test_near_equal_tokens_are_bounded(spark):
     assert rules.count() == 0
 
 
+def test_no_number_of_tokens_is_a_cap(spark):
+    """Fourteen tokens rarer than the two that decide together stand beside them."""
+    r = random.Random(13)
+    rows = []
+    for i in range(300):
+        a, b = i % 5 != 0, i % 7 > 1
+        rare = r.sample(range(28), 14)
+        rows.append((["a"] * a + ["b"] * b + [f"t{k:02}" for k in sorted(rare)], a and b))
+    df = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    mine = lambda **how: {tuple(x.antecedent): (x.verdict, x.confidence) for x in url_rules.mine(df, min_rows=60, min_confidence=0.95, **how).collect()}
+    assert mine()[("a", "b")] == ("block", 1.0) and ("a", "b") not in mine(items=12)
+
+
 def test_url_odd_rows(spark):
     urls = [None, "", "://", "x://", "http://" + "a." * 3000 + "com/" + "b/" * 3000, "http://q.net/?" + "&".join(f"k{i}=v" for i in range(500))] + ["http://hot.net/casino777"] * 300
     pages = spark.createDataFrame([(i, u, "t", 1) for i, u in enumerate(urls)], "page_id long, url string, shape string, n int").repartition(3)
