@@ -7,7 +7,8 @@ from the table's size, a retried task sees them in the same order, and
 each partition lays its documents end to end and cuts every ``size`` tokens. What is left at its end is cut
 into sequences whose lengths are powers of two, which need no padding.
 
-The tokenised table is written to the shared folder once: the range sort reads it twice (to sample, to sort).
+The tokenised table is written to the shared folder once: the range sort reads it twice (to sample, to sort). Tasks that lay documents out drop
+the vocabulary that tokenising left in their worker.
 
 Null texts are empty texts; every document has at least the closing id. Repeated rows are documents of their
 own. An empty table gives no pieces. Only the named columns are read.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_vocab import load
-from .common import bytes_of, partitions_for, pieces, table, texts, written
+from .common import bytes_of, forget, frugal, give_back, partitions_for, pieces, table, texts, written
 
 SIZE, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 8
@@ -89,6 +90,7 @@ def tokenised(df: DataFrame, vocab: str, id_col: str, text_col: str, end_id: int
     """id, key, ids (little-endian, two or four bytes each, the closing id included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         v = load(vocab)
         signs = projection(v.size)
         packed, end = packed_signs(signs), np.array([end_id], v.kind).tobytes()
@@ -140,39 +142,45 @@ class Packer:
                     yield from self._emit()
 
 
+def laid(batches: Iterator[pa.RecordBatch], packer: Packer, kind: type, id_col: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """A partition's documents as pieces, in batches of those that PIECE_ROWS documents complete."""
+
+    def out(done: list[tuple]) -> pa.RecordBatch:
+        docs, starts, ids, tokens, sequences, offsets = zip(*done, strict=True)
+        wide = [x.astype("<u4").tobytes() for x in ids]
+        arrays = [pa.array(docs, id_type), *(pa.array(x, pa.int64()) for x in (starts, [len(x) for x in ids], [zlib.crc32(x) for x in wide], tokens, sequences, offsets))]
+        names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, ids)])
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    id_type = pa.int64()
+    for batch in pieces(batches):
+        id_type = batch.schema.field(id_col).type
+        done = []
+        for doc, ids in zip(batch.column(id_col), batch.column("ids"), strict=True):
+            done += packer.add(doc.as_py(), np.frombuffer(ids.as_py(), kind))
+        if done:
+            yield out(done)
+    if done := list(packer.finish()):
+        yield out(done)
+
+
 def pack(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Pieces of sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, with ``with_ids`` also ids."""
     kind = load(vocab).kind
-    tokens = written(tokenised(df, vocab, id_col, text_col, end_id), "tokens")
+    with frugal(df.sparkSession):
+        tokens = written(tokenised(df, vocab, id_col, text_col, end_id), "tokens")
     order = ("key", id_col, F.xxhash64("ids"))  # the ids themselves are far too wide to sort by
     along = tokens.repartitionByRange(partitions_for(tokens.sparkSession, bytes_of(tokens)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(size, TaskContext.get().partitionId() << 40)
-
-        def out(pieces: list[tuple]) -> pa.RecordBatch:
-            docs, starts, ids, tokens, sequences, offsets = zip(*pieces, strict=True)
-            wide = [x.astype("<u4").tobytes() for x in ids]
-            arrays = [pa.array(docs, id_type), *(pa.array(x, pa.int64()) for x in (starts, [len(x) for x in ids], [zlib.crc32(x) for x in wide], tokens, sequences, offsets))]
-            names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            if with_ids:
-                ends = np.cumsum([0, *map(len, ids)])
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))))
-                names.append("ids")
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
-        id_type = pa.int64()
-        for batch in batches:
-            id_type = batch.schema.field(id_col).type
-            pieces = []
-            for doc, ids in zip(batch.column(id_col), batch.column("ids"), strict=True):
-                pieces += packer.add(doc.as_py(), np.frombuffer(ids.as_py(), kind))
-            if pieces:
-                yield out(pieces)
-        if pieces := list(packer.finish()):
-            yield out(pieces)
+        forget()
+        yield from laid(batches, Packer(size, TaskContext.get().partitionId() << 40), kind, id_col, with_ids)
 
     schema = f"{id_col} {dict(df.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return along.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,30 @@ def test_packing(docs, plain):
     assert packing.pack(docs.limit(0), BYTES).count() == 0
 
 
+def test_packing_tasks_hold_little(docs, plain, monkeypatch):
+    """Tasks that lay documents out drop the vocabulary of their worker and give pieces of a few rows at a time; tokens are written in small batches."""
+    import pyspark
+
+    from findings_engine.llm import byte_vocab
+    from findings_engine.llm.common import PIECE_ROWS
+
+    frame, seen, largest = type(docs), [], []
+    own, own_written = frame.mapInArrow, packing.written
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *how: (seen.append(f), own(self, f, *how))[1])
+    monkeypatch.setattr(packing, "written", lambda df, name: (largest.append(df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")), own_written(df, name))[1])
+    packing.pack(docs.limit(3), BYTES)
+    assert [int(x) for x in largest] == [4 << 20]
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 5})()))
+    assert byte_vocab.load(BYTES).encoded(["a b"]) and byte_vocab.load.cache_info().currsize
+    n = 4 * PIECE_ROWS
+    ids = [np.full(64, k % 50, np.uint16).tobytes() for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "key", "ids"])
+    out = list(seen[-1](iter([batch])))
+    assert byte_vocab.load.cache_info().currsize == 0
+    assert max(x.num_rows for x in out) <= PIECE_ROWS and sum(x.num_rows for x in out) == n
+    assert [i for x in out for i in x.column("doc_id").to_pylist()] == list(range(n)) and {s >> 40 for x in out for s in x.column("sequence_id").to_pylist()} == {5}
+
+
 def test_hilbert_is_a_curve():
     side = 8
     points = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
